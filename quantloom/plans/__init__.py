@@ -1 +1,6 @@
+"""Importing this package registers every query."""
 
+from quantloom.plans import panels  # noqa: F401
+from quantloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
