@@ -13,10 +13,16 @@ SHIFT = 0.5137
 
 
 def settle(x: Column) -> Column:
-    """Six decimals below a million, two above."""
-    return F.when(F.abs(x) < 1e6, F.floor(x * 1e6 + SHIFT) / 1e6).otherwise(F.floor(x * 1e2 + SHIFT) / 1e2)
+    """Nine or more significant digits: six decimals below a thousand, three below a million, then none."""
+    size = F.abs(x)
+    return (
+        F.when(size < 1e3, F.floor(x * 1e6 + SHIFT) / 1e6)
+        .when(size < 1e6, F.floor(x * 1e3 + SHIFT) / 1e3)
+        .when(size < 1e9, F.floor(x + SHIFT).cast("double"))
+        .otherwise(F.floor(x / 1e3 + SHIFT) * 1e3)
+    )
 
 
 def snap(x: Column) -> Column:
-    """Ten decimals: makes ties of equal correlations real ties before they are ranked."""
-    return F.floor(x * 1e10 + SHIFT) / 1e10
+    """Ten decimals below 1e5: makes ties of computed values real ties before they are ranked."""
+    return F.when(F.abs(x) < 1e5, F.floor(x * 1e10 + SHIFT) / 1e10).otherwise(x)

@@ -10,7 +10,8 @@ def _delta(p, x, n):
 
 
 def _rank_of(p, x):
-    return p.rank(p.stage(x))
+    """Rank of a computed value; snapped, so that equal values tie whatever the last bit says."""
+    return p.rank(p.stage(p.snap(x)))
 
 
 def alpha_001(p):

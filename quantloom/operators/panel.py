@@ -13,6 +13,7 @@ window over the date only while the row count of the source proves that no date
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,12 +22,16 @@ from quantloom.functions.rounding import settle, snap
 from quantloom.operators import ranking
 from quantloom.session import cut, window_group_limit
 
+_HIDDEN = re.compile(r"\b_c\d+\b")
+
 
 class Panel:
     """A staged long panel. ``max_rows`` is a proven bound on its rows; None means unknown."""
 
     def __init__(self, df: DataFrame, max_rows: int | None = None, symbol: str = "symbol", date: str = "date"):
-        self.df = df
+        self._df = df
+        self._levels: list[dict[str, Column]] = []
+        self._depth: dict[str, int] = {}
         self.symbol, self.date = symbol, date
         self.bounded = max_rows is not None and max_rows <= window_group_limit(df.sparkSession)
         self._staged: dict[tuple, str] = {}
@@ -43,11 +48,32 @@ class Panel:
     volume = property(lambda self: F.col("volume"))
 
     def stage(self, expr: Column, *key) -> Column:
+        """Name ``expr`` as a hidden column and return a reference to it.
+
+        Hidden columns are kept by depth, one more than the deepest they read, and each depth becomes
+        one projection: windows of equal spec anywhere in a set of formulas share their Exchange.
+        """
         name = f"_c{len(self._staged)}"
         self._staged[key or (name,)] = name
-        self.df = self.df.withColumn(name, expr)
+        depth = 1 + max((self._depth.get(n, -1) for n in _HIDDEN.findall(str(expr))), default=-1)
+        self._depth[name] = depth
+        while len(self._levels) <= depth:
+            self._levels.append({})
+        self._levels[depth][name] = expr
         return F.col(name)
 
+    @property
+    def df(self) -> DataFrame:
+        for level in self._levels:
+            if level:
+                self._df = self._df.withColumns(level)
+        self._levels, self._depth = [], {}
+        return self._df
+
+    @df.setter
+    def df(self, value: DataFrame) -> None:
+        self._df = value
+
     def _once(self, build, *key) -> Column:
         """Stage ``build()`` unless an operator with the same arguments is staged already."""
         key = tuple(str(k) for k in key)
@@ -89,6 +115,9 @@ class Panel:
     def power(self, x, c):
         return F.pow(x, F.lit(float(c)))
 
+    def snap(self, x):
+        return snap(x)
+
     def floor(self, x):
         return F.floor(x).cast("double")
 

@@ -11,11 +11,17 @@ SHIFT = 0.5137
 
 def settle_sql(x: str) -> str:
     return (
-        f"CASE WHEN abs({x}) < 1e6 THEN floor(({x}) * 1e6 + {SHIFT}) / 1e6 "
-        f"ELSE floor(({x}) * 1e2 + {SHIFT}) / 1e2 END"
+        f"CASE WHEN abs({x}) < 1e3 THEN floor(({x}) * 1e6 + {SHIFT}) / 1e6 "
+        f"WHEN abs({x}) < 1e6 THEN floor(({x}) * 1e3 + {SHIFT}) / 1e3 "
+        f"WHEN abs({x}) < 1e9 THEN floor(({x}) + {SHIFT}) "
+        f"ELSE floor(({x}) / 1e3 + {SHIFT}) * 1e3 END"
     )
 
 
+def snap_sql(x: str) -> str:
+    return f"CASE WHEN abs({x}) < 1e5 THEN floor(({x}) * 1e10 + {SHIFT}) / 1e10 ELSE {x} END"
+
+
 LONG = """SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date,
   first(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS open,
   max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
@@ -155,6 +161,10 @@ class SqlPanel:
     def power(self, x, c):
         return self._f("pow", x, float(c))
 
+    def snap(self, x):
+        v = self.stage(x)
+        return E(snap_sql(v.text))
+
     def floor(self, x):
         return self._f("floor", x)
 
@@ -354,7 +364,7 @@ class SqlPanel:
             flat = f"list_min({la}) = list_max({la}) OR list_min({lb}) = list_max({lb})"
             return E(
                 f"CASE WHEN len({la}) >= {minp or w} AND NOT ({flat}) "
-                f"THEN floor({sab} / nullif(sqrt({saa}) * sqrt({sbb}), 0) * 1e10 + {SHIFT}) / 1e10 END"
+                f"THEN {snap_sql(f'({sab} / nullif(sqrt({saa}) * sqrt({sbb}), 0))')} END"
             )
 
         return self._once(build, "corr", x, y, w, minp)
@@ -365,7 +375,7 @@ class SqlPanel:
             la, _, sab, _, _ = self._center(a, b, w)
             return E(
                 f"CASE WHEN len({la}) >= {minp or w} AND len({la}) > 1 "
-                f"THEN floor({sab} / (len({la}) - 1) * 1e10 + {SHIFT}) / 1e10 END"
+                f"THEN {snap_sql(f'({sab} / (len({la}) - 1))')} END"
             )
 
         return self._once(build, "cov", x, y, w, minp)
