@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.rounding import settle
 from quantloom.operators.panel import Panel
-from quantloom.plans.oracle import SOURCES, SqlPanel
+from quantloom.plans.oracle import SOURCES, SqlPanel, settle_sql
 from quantloom.sources.bars import event_bars, trade_bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,8 +75,28 @@ def panel_query(name: str, formula: Callable, source: str = "long") -> None:
     _add(name, run, q.out(**columns(q)))
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables)``. ``sql`` may name {long}, {dense} and their sector forms as derived tables."""
+def tidy(df: DataFrame, q: str) -> DataFrame:
+    """Settle the columns named in ``q``; dates and timestamps become text, flags become integers."""
+    settled = q.split()
+    picks = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if name in settled:
+            c = settle(c.cast("double"))
+        elif kind in ("date", "timestamp"):
+            c = c.cast("string")
+        elif kind == "boolean":
+            c = c.cast("int")
+        picks.append(c.alias(name))
+    return df.select(*picks)
+
+
+def query(name: str, sql: str | None = None, q: str = "", d: str = ""):
+    """Register ``fn(tables)``.
+
+    ``sql`` may name {long}, {dense} and their sector forms as derived tables; ``q`` lists the computed
+    doubles to settle on both sides, ``d`` the dates to give as text.
+    """
 
     def keep(fn):
         text = None
@@ -83,7 +104,11 @@ def query(name: str, sql: str | None = None):
             text = sql
             for key, body in SOURCES.items():
                 text = text.replace("{" + key + "}", f"({body})")
-        _add(name, lambda spark, folder: fn(Tables(spark, folder)), text)
+            swaps = [f"{settle_sql(f'CAST({c} AS DOUBLE)')} AS {c}" for c in q.split()]
+            swaps += [f"CAST({c} AS VARCHAR) AS {c}" for c in d.split()]
+            if swaps:
+                text = f"SELECT * REPLACE ({', '.join(swaps)}) FROM ({text})"
+        _add(name, lambda spark, folder: tidy(fn(Tables(spark, folder)), q), text)
         return fn
 
     return keep

@@ -30,11 +30,9 @@ def connect(folder: str):
 def _plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
-    if isinstance(v, bool):
-        return float(v)
-    if isinstance(v, (int, float)) or v.__class__.__name__ == "Decimal":
-        return float(v) + 0.0
-    return str(v)
+    if isinstance(v, float):
+        return v + 0.0
+    return v if isinstance(v, int) and not isinstance(v, bool) else str(v)
 
 
 def _sorted(names, rows):
@@ -57,6 +55,13 @@ def compare(spark, con, key, folder, queries, oracles):
         return f"{len(left)} rows against {len(right)}"
     if not left:
         return "no rows on either side"
+    wide = [d[0] for d in got.description if str(d[1]) == "HUGEINT" or str(d[1]).startswith("DECIMAL")]
+    if wide:
+        return f"wide numbers in DuckDB: {wide}"
+    for i, n in enumerate(left_names):
+        kinds = {type(r[i]) for r in (*left, *right) if r[i] is not None}
+        if len(kinds) > 1:
+            return f"types of {n} differ: {kinds}"
     wrong = [(a, b) for a, b in zip(left, right) if a != b]
     if wrong:
         return f"{len(wrong)} of {len(left)} rows differ, e.g. {left_names}: {wrong[0][0]} against {wrong[0][1]}"
