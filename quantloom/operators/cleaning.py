@@ -77,12 +77,9 @@ def session_table(df: DataFrame) -> DataFrame:
 def split_train_test(df: DataFrame, share: float = 0.8) -> DataFrame:
     """Mark rows train or test; the test part begins at the date of index int(share · dates)."""
     sessions = session_table(df)
-    n = sessions.agg(F.count(F.lit(1)).alias("n"))
-    cut = sessions.crossJoin(F.broadcast(n)).where(F.col("ord") == F.floor(F.col("n") * share) + 1)
-    cut = cut.select(F.col("date").alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn(
-        "part", F.when(F.col("date") < F.col("_cut"), "train").otherwise("test")
-    ).drop("_cut")
+    n = sessions.agg(F.count(F.lit(1))).scalar()
+    cut = sessions.where(F.col("ord") == F.floor(n * share) + 1).select("date").scalar()
+    return df.withColumn("part", F.when(F.col("date") < cut, "train").otherwise("test"))
 
 
 def restore_prediction_day(labelled: DataFrame, featured: DataFrame, features: list[str]) -> DataFrame:

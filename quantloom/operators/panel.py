@@ -472,6 +472,5 @@ class Panel:
         if key not in self._staged:
             name = f"_c{len(self._staged)}"
             self._staged[key] = name
-            one = self.df.agg(F.sum(x).alias(name)).withColumn("_one", F.lit(1))
-            self.df = self.df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+            self.df = self.df.withColumn(name, self.df.agg(F.sum(x)).scalar())
         return F.col(self._staged[key])

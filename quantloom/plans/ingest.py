@@ -379,9 +379,8 @@ def segment(t):
     d="first last",
 )
 def segments_for(t):
-    review = t.lineitem.agg(F.date_sub(F.to_date(F.max("l_shipdate")), 90).alias("review"))
-    rows = t.long_bars().crossJoin(F.broadcast(review))
-    tiers = rows.withColumn("tier", cl.tier_of(C("date"), C("review")))
+    review = t.lineitem.agg(F.date_sub(F.to_date(F.max("l_shipdate")), 90)).scalar()
+    tiers = t.long_bars().withColumn("tier", cl.tier_of(C("date"), review))
     return tiers.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
