@@ -1,6 +1,6 @@
 """Importing this package registers every query."""
 
-from quantloom.plans import ingest, joining, panels  # noqa: F401
+from quantloom.plans import ingest, joining, panels, scoring  # noqa: F401
 from quantloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
