@@ -19,7 +19,8 @@ def settle(x: Column) -> Column:
         F.when(size < 1e3, F.floor(x * 1e6 + SHIFT) / 1e6)
         .when(size < 1e6, F.floor(x * 1e3 + SHIFT) / 1e3)
         .when(size < 1e9, F.floor(x + SHIFT).cast("double"))
-        .otherwise(F.floor(x / 1e3 + SHIFT) * 1e3)
+        .when(size < 1e15, F.floor(x / 1e3 + SHIFT) * 1e3)
+        .otherwise(x)
     )
 
 

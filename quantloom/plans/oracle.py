@@ -14,7 +14,7 @@ def settle_sql(x: str) -> str:
         f"CASE WHEN abs({x}) < 1e3 THEN floor(({x}) * 1e6 + {SHIFT}) / 1e6 "
         f"WHEN abs({x}) < 1e6 THEN floor(({x}) * 1e3 + {SHIFT}) / 1e3 "
         f"WHEN abs({x}) < 1e9 THEN floor(({x}) + {SHIFT}) "
-        f"ELSE floor(({x}) / 1e3 + {SHIFT}) * 1e3 END"
+        f"WHEN abs({x}) < 1e15 THEN floor(({x}) / 1e3 + {SHIFT}) * 1e3 ELSE {x} END"
     )
 
 
