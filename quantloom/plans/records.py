@@ -49,12 +49,12 @@ def latest_per_key(t):
 
 @query(
     "ic_proportional",
-    f"""WITH {LX}, g AS (SELECT symbol, {corr_sql("f4", "label")} AS ic FROM fx WHERE f4 IS NOT NULL AND label IS NOT NULL GROUP BY symbol), w AS (SELECT *, pow(greatest(ic - 0.01, 0), 0.5) AS w FROM g)
+    f"""WITH {LX}, g AS (SELECT symbol, {corr_sql("(-f4)", "label")} AS ic FROM fx WHERE f4 IS NOT NULL AND label IS NOT NULL GROUP BY symbol), w AS (SELECT *, pow(greatest(ic - 0.01, 0), 0.5) AS w FROM g)
     SELECT symbol, ic, w / nullif(sum(w) OVER (), 0) AS weight FROM w""",
     q="ic weight",
 )
 def ic_proportional(t):
-    ic = scored(t, "long").where(C("f4").isNotNull() & C("label").isNotNull()).groupBy("symbol").agg(ev.correlation(C("f4"), C("label")).alias("ic"))
+    ic = scored(t, "long").where(C("f4").isNotNull() & C("label").isNotNull()).groupBy("symbol").agg(ev.correlation(-C("f4"), C("label")).alias("ic"))
     return rp.ic_proportional(ic, "ic", 0.01, 0.5)
 
 
@@ -63,8 +63,8 @@ def ic_proportional(t):
     """WITH w AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority AS factor, sum(o_totalprice) AS w FROM orders GROUP BY ALL),
     n AS (SELECT month, factor, w / sum(w) OVER (PARTITION BY month) AS w, CASE factor WHEN '1-URGENT' THEN 0.15 WHEN '2-HIGH' THEN 0.22 END AS cap FROM w),
     k AS (SELECT a.month, a.x, greatest(0, 1 - a.c) / nullif(sum(CASE WHEN NOT list_contains(a.x, n.factor) THEN n.w ELSE 0 END), 0) AS scale, count(*) FILTER (WHERE list_contains(a.x, n.factor)) AS held
-      FROM (SELECT DISTINCT month, x, c FROM n, (VALUES ([]::VARCHAR[], 0.0), (['1-URGENT'], 0.15), (['2-HIGH'], 0.22), (['1-URGENT', '2-HIGH'], 0.37)) s(x, c)) a JOIN n USING (month) GROUP BY ALL),
-    ok AS (SELECT k.month, k.x, k.scale FROM k JOIN n USING (month) GROUP BY ALL
+      FROM (SELECT DISTINCT month, x, c FROM n, (VALUES ([]::VARCHAR[], 0.0), (['1-URGENT'], 0.15), (['2-HIGH'], 0.22), (['1-URGENT', '2-HIGH'], 0.37)) s(x, c)) a JOIN n USING (month) GROUP BY a.month, a.x, a.c),
+    ok AS (SELECT k.month, k.x, k.scale FROM k JOIN n USING (month) GROUP BY k.month, k.x, k.scale
       HAVING bool_and(CASE WHEN list_contains(k.x, n.factor) THEN n.w * k.scale > n.cap - 1e-12 ELSE n.cap IS NULL OR n.w * k.scale <= n.cap + 1e-12 END)),
     one AS (SELECT month, arg_min(x, len(x)) AS x, arg_min(scale, len(x)) AS scale FROM ok GROUP BY month)
     SELECT month, factor, CASE WHEN list_contains(x, factor) THEN cap ELSE n.w * scale END AS capped FROM n JOIN one USING (month)""",
