@@ -348,17 +348,19 @@ class Panel:
         """Exponentially weighted mean, without a recursion.
 
         The decayed sum up to a row is the part inside the row's block of rows plus the decayed
-        total of the previous block; blocks are so long that anything older weighs under 1e-20.
+        total of the previous block; blocks are so long that anything older weighs under 1e-19.
         """
 
         def build():
             keep = 1.0 - alpha
-            size = max(4, math.ceil(-46.0 / math.log(keep)))
+            need = max(4, math.ceil(-46.0 / math.log(keep)))
+            # a few common sizes, so that averages of many spans share their blocks and sorts
+            size = 64
+            while size < need:
+                size *= 4
             t = self.rownum()
-            began = self._once(
-                lambda: F.min(F.when(x.isNotNull(), t)).over(Window.partitionBy(self.symbol)), "began", x
-            )
-            block = self.stage(F.floor((t - 1) / size))
+            began = self._once(lambda: F.min(F.when(x.isNotNull(), t)).over(self._past()), "began", x)
+            block = self._once(lambda: F.floor((t - 1) / size), "block", size)
             at = (t - 1) - block * size
             weight = F.lit(1.0) if adjust else F.when(t == began, 1.0).otherwise(alpha)
             grown = F.pow(F.lit(keep), -at.cast("double"))
@@ -437,9 +439,11 @@ class Panel:
 
             def build():
                 v = self.stage(x)
-                low = F.rank().over(self._day(by).orderBy(v.asc_nulls_last()))
-                ties = F.count(F.lit(1)).over(Window.partitionBy(self.date, *by, v))
-                return F.when(v.isNotNull(), (low + (ties - 1) / 2) / F.count(v).over(self._day(by)))
+                # one window spec for position, ties and size: one sort
+                w = self._day(by).orderBy(v.asc_nulls_last())
+                ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+                n = F.count(v).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+                return F.when(v.isNotNull(), (F.rank().over(w) + (ties - 1) / 2) / n)
 
             return self._once(build, "rank", x, tuple(by))
         key = tuple(str(k) for k in ("rank", x, tuple(by)))

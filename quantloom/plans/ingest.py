@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quantloom.functions.elementwise import finite
 from quantloom.operators import cleaning as cl
 from quantloom.operators import text as tx
 from quantloom.plans.registry import query
@@ -408,6 +409,19 @@ def clamp_levels(t):
     return made.select("symbol", "date", "side", "stop_price", "take_price", "basis")
 
 
+@query(
+    "inf_to_null",
+    "SELECT symbol, date, CASE WHEN close <> open THEN volume / (close - open) END AS value FROM {long}",
+    q="value",
+    d="date",
+)
+def inf_to_null(t):
+    """A source that writes ±inf for a division by zero and NaN for zero over zero."""
+    body = C("close") - C("open")
+    raw = F.when(body != 0, C("volume") / F.nullif(body, F.lit(0.0))).when(C("volume") > 10, float("inf")).otherwise(float("nan"))
+    return t.long_bars().select("symbol", "date", finite(raw).alias("value"))
+
+
 # -- text --------------------------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.rounding import settle
 from quantloom.operators.panel import Panel
 from quantloom.plans.oracle import SOURCES, SqlPanel, settle_sql
+from quantloom.session import spread
 from quantloom.sources.bars import event_bars, trade_bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,11 +54,11 @@ class Tables:
             df = self.long_bars()
             if source.endswith("sector"):
                 df = df.join(self.sectors(), "symbol", "left")
-            return Panel(df, self.rows("lineitem"))
+            return Panel(spread(df, "symbol", self.rows("lineitem")), self.rows("lineitem"))
         df = self.dense_bars()
         if source.endswith("sector"):
             df = df.withColumn("sector", (F.col("symbol") % 5).cast("string"))
-        return Panel(df, self.rows("events"))
+        return Panel(spread(df, "symbol", self.rows("events")), self.rows("events"))
 
 
 def panel_query(name: str, formula: Callable, source: str = "long") -> None:

@@ -34,6 +34,18 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
+def spread(df, key: str, rows: int):
+    """Hash ``df`` by ``key`` into a number of partitions that AQE leaves alone.
+
+    Trailing windows cost far more time than bytes, so a coalesced exchange would run them on few cores.
+    The number follows the row count, between the cores and ``spark.sql.shuffle.partitions``.
+    """
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(max(min(most, cores), min(most, rows // 200_000)), key)
+
+
 def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller supplies its own."""
     return (
@@ -44,6 +56,7 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.cache.maxEntries", "4000")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
