@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.options import implied_vol, price  # noqa: F401
+from quantloom.functions.options import implied_vol
 from quantloom.functions.rounding import snap
 from quantloom.operators import evaluation as ev
 from quantloom.operators import indicators as ind
