@@ -19,14 +19,11 @@ BUCKETS = 256
 def value_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
     """One row per (keys, value), nulls left out: ``n`` copies, ``less`` smaller values, ``total`` in the group."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    if dict(counted.dtypes)[value] in ("string", "date", "boolean"):
-        # percentile_approx takes numbers only; a prefix of the ordering does as a bucket
-        bucketed = counted.withColumn("_b", _coarse(counted, value))
-    else:
-        shares = [i / buckets for i in range(1, buckets)]
-        cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))
-        joined = _equi(counted, cuts, keys)
-        bucketed = joined.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    coded = counted.withColumn("_rank_code", _code(counted, value))
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = coded.groupBy(*keys).agg(F.percentile_approx("_rank_code", shares, 1000).alias("_cuts"))
+    joined = _equi(coded, cuts, keys)
+    bucketed = joined.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_rank_code")))).drop("_cuts", "_rank_code")
     totals = bucketed.groupBy(*keys, "_b").agg(F.sum("n").alias("_t"))
     over = Window.partitionBy(*keys).orderBy("_b")
     offsets = totals.select(
@@ -42,13 +39,19 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKE
     )
 
 
-def _coarse(counted: DataFrame, value: str) -> Column:
-    kind = dict(counted.dtypes)[value]
+def _code(counted: DataFrame, value: str) -> Column:
+    """A number that never falls as ``value`` rises, to cut buckets by; the ranks themselves use ``value``."""
+    kind, v = dict(counted.dtypes)[value], F.col(value)
     if kind == "date":
-        return F.unix_date(F.col(value))
-    if kind == "boolean":
-        return F.col(value).cast("int")
-    return F.substring(F.col(value), 1, 12)
+        return F.unix_date(v)
+    if kind == "string":
+        # six bytes after the prefix that the smallest and the largest value share
+        ends = counted.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+        lengths = F.sequence(F.lit(1), F.greatest(F.length("lo"), F.lit(1)))
+        alike = F.filter(lengths, lambda i: F.substr(F.col("lo"), F.lit(1), i) == F.substr(F.col("hi"), F.lit(1), i))
+        prefix = ends.select(F.coalesce(F.array_max(alike), F.lit(0))).scalar()
+        return F.conv(F.rpad(F.hex(F.substr(v, prefix + 1)), 12, "0"), 16, 10).cast("double")
+    return v.cast("double") if kind == "boolean" else v
 
 
 def _equi(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -40,6 +40,13 @@ def test_ordinal_breaks_ties_by_key(spark, skewed):
     np.testing.assert_allclose(got["o"].astype(float), want)
 
 
+def test_ordinal_with_text_keys(spark, skewed):
+    pdf = skewed.assign(symbol=[f"Customer#{i:09d}" for i in skewed["symbol"]])
+    got = ranking.with_ordinal(frame(spark, pdf), ["date"], "x", "symbol", "o", "n").toPandas().sort_values("symbol")
+    want = pdf.groupby("date")["x"].rank(method="first")
+    np.testing.assert_allclose(got["o"].astype(float), want)
+
+
 def test_percentiles(spark, skewed):
     got = ranking.percentiles(frame(spark, skewed), ["date"], "x", {"a": 0.1, "b": 0.5, "c": 0.99}).toPandas().set_index("date")
     want = skewed.groupby("date")["x"].quantile([0.1, 0.5, 0.99]).unstack()
