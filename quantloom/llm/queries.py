@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import decontaminate, factorisation, quality, simhash
+from quantloom.llm import decontaminate, factorisation, quality, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,13 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+@_query("op1_suffix_array_dedup")
+def _op1(table):
+    left = repeats.without_repeats(table("documents"))
+    n_removed = F.col("n_bytes") - F.octet_length("kept")
+    return left.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query("op3_quality_classifier")
 def _op3(table):
     docs = table("documents")
