@@ -107,6 +107,14 @@ def chain(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def chain_rows(h: np.ndarray) -> np.ndarray:
+    """One hash from the entries of every column."""
+    out = np.zeros(h.shape[1:], np.uint64)
+    for row in h:
+        out = out * _BASE + row
+    return mix(out)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int = PIECE) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Slices of the batches with about ``limit`` bytes of text, and their texts."""
     for batch in batches:

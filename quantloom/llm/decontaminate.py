@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm import batches as b
+from quantloom.llm.bits import bit_field, passes
 from quantloom.llm.store import keep
 
-#: Words of a window; bits of the word filter that is sent to tasks, 4 MB at any size of benchmark.
-WINDOW, FILTER_BITS = 10, 1 << 25
-_PAGE = 1 << 15
+#: Words of a window.
+WINDOW = 10
 
 
 def _words(raw: b.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -67,21 +67,6 @@ def named(h: np.ndarray, k: int) -> np.ndarray:
     return b.mix(h + np.uint64(k))
 
 
-def word_filter(terms: DataFrame) -> np.ndarray:
-    """Bit field of the hashes in column ``term``; false hits are possible, misses are not."""
-    at = F.pmod("term", F.lit(FILTER_BITS))
-    pages = terms.groupBy(F.floor(at / _PAGE).alias("page")).agg(F.bitmap_construct_agg((at % _PAGE).cast("long")).alias("bits")).collect()
-    field = np.zeros(FILTER_BITS // 8, np.uint8)
-    for page, bits in pages:
-        field[page * _PAGE // 8 : (page + 1) * _PAGE // 8] = np.frombuffer(bits, np.uint8)
-    return field
-
-
-def _passes(field: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h % np.uint64(FILTER_BITS)).astype(np.int64)
-    return (field[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def frequencies(docs: DataFrame, field: np.ndarray) -> DataFrame:
     """(term, n): how often the filtered words stand in the corpus."""
 
@@ -89,7 +74,7 @@ def frequencies(docs: DataFrame, field: np.ndarray) -> DataFrame:
         terms, counts, waiting = [], [], 0
         for _, texts in b.pieces(batches, "text"):
             h, _ = _words(texts)
-            kinds, n = np.unique(h[_passes(field, h)], return_counts=True)
+            kinds, n = np.unique(h[passes(field, h)], return_counts=True)
             terms.append(kinds)
             counts.append(n)
             waiting += len(kinds)
@@ -113,7 +98,7 @@ def postings(docs: DataFrame, field: np.ndarray) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for part, texts in b.pieces(batches, "text"):
             h, row = _words(texts)
-            at = np.flatnonzero(_passes(field, h))
+            at = np.flatnonzero(passes(field, h))
             place = at - b.borders(row, texts.n)[row[at]]
             order = np.lexsort((place, h[at], row[at]))
             h, row, place = h[at][order], row[at][order], place[order]
@@ -138,11 +123,11 @@ def candidates(rows: DataFrame, phrases: DataFrame, slack: int = 0) -> DataFrame
     """
     words = keep(phrases.select("wid", F.posexplode("terms").alias("place", "term")))
     used = words.select("term").distinct()
-    counted = frequencies(rows, word_filter(used)).join(words, "term", "right").select("wid", "place", "term", F.coalesce("n", F.lit(0)).alias("n"))
+    counted = frequencies(rows, bit_field(used)).join(words, "term", "right").select("wid", "place", "term", F.coalesce("n", F.lit(0)).alias("n"))
     ranked = counted.groupBy("wid").agg(F.min("n").alias("least"), F.slice(F.array_sort(F.collect_list(F.struct("n", "place", "term"))), 1, 2).alias("two"))
     search = keep(ranked.where("least > 0").select("wid", F.col("two")[0].alias("x"), F.col("two")[F.size("two") - 1].alias("y")))
     led = search.select(F.col("x.term").alias("term")).union(search.select(F.col("y.term"))).distinct()
-    index = keep(postings(rows, word_filter(led)))
+    index = keep(postings(rows, bit_field(led)))
     lead = index.join(search, index["term"] == F.col("x.term")).select("a", "b", "wid", "x", "y", F.explode("at").alias("found"))
     lead = lead.select("a", "b", "wid", "x", "y", (F.col("found") - F.col("x.place")).alias("start"), F.col("y.term").alias("term"))
     joined = lead.join(index, ["term", "a", "b"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import decontaminate, factorisation, quality, repeats, simhash
+from quantloom.llm import decontaminate, factorisation, licenses, lines, mixing, preference, quality, repeats, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,12 +30,27 @@ def _op1(table):
     return left.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@_query("op2_license_scans")
+def _op2(table):
+    return licenses.scan(table("documents"))
+
+
 @_query("op3_quality_classifier")
 def _op3(table):
     docs = table("documents")
     return factorisation.score(docs, factorisation.train(docs, table("labels")))
 
 
+@_query("op4_chat_formatting")
+def _op4(table):
+    return preference.formatted(preference.swapped_replies(preference.conversations(table("conversations"))))
+
+
+@_query("op5_mixing_sources")
+def _op5(table):
+    return mixing.mix(table("documents"))
+
+
 @_query("op6_quality_rules")
 def _op6(table):
     docs = table("documents")
@@ -43,6 +58,16 @@ def _op6(table):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+@_query("op7_warc")
+def _op7(table):
+    return warc.round_trip(table("pages"))
+
+
+@_query("op8_line_dedup")
+def _op8(table):
+    return lines.line_report(table("documents"))
+
+
 _WORDS9 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 _OP9 = f"""
