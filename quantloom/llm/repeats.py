@@ -1,6 +1,6 @@
 """Suffix-array dedup: remove every byte covered by a string of ``SPAN`` bytes that starts twice in the corpus.
 
-Every window of SPAN bytes is named by its anchor, the 64-byte string inside it with the smallest hash (the leftmost of
+Every window of SPAN bytes is named by its anchor, the ANCHOR-byte string inside it with the smallest hash (the leftmost of
 equals), so equal windows have equal anchors. Windows in a row with one anchor form a stretch. Anchors seen once are
 settled: nothing in their windows repeats. Of the others, a stretch seen twice repeats throughout, and the different
 stretches of an anchor go to shards, where a suffix array made by induced sorting, and its permuted common prefixes, tell
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm import batches as b
@@ -27,7 +27,7 @@ from quantloom.llm.store import keep
 from quantloom.llm.suffixes import permuted_prefixes, suffix_array
 
 #: Bytes of a repeated string, bytes of an anchor, most stretches of one anchor in a shard, bytes sorted at once.
-SPAN, ANCHOR, SHARD, SORTED = 200, 64, 20_000, 1 << 21
+SPAN, ANCHOR, SHARD, SORTED = 200, 40, 20_000, 1 << 21
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
@@ -124,7 +124,7 @@ def _repeated(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     before, length = permuted_prefixes(t, sa)
     again = length >= SPAN
     again[before[np.flatnonzero(length >= SPAN)]] = True
-    out = {k: [] for k in ("h", "d", "lo", "hi", "w", "x")}
+    out, told = {k: [] for k in ("h", "d", "lo", "hi", "w", "x")}, set()
 
     def put(**columns):
         for k, v in columns.items():
@@ -135,21 +135,22 @@ def _repeated(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         step = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
         lo, hi = step[::2], step[1::2]
         none = np.zeros(len(lo), np.int64)
-        put(h=none + h[i], d=none + d[i], lo=lo, hi=hi, w=none, x=none)
+        put(h=none + h[i], d=none + d[i], lo=lo, hi=hi, w=none + d[i], x=lo)
         if shards[i] > 1:
             text = raw[offs[i] - offs[0] : offs[i + 1] - offs[0]].tobytes()
-            # lo is -1 for windows that are settled here and only tell other shards of themselves
-            name = np.array([xxhash.xxh3_128_intdigest(text[j : j + SPAN]) for j in range(n[i])], object)
-            w, x = (np.array([(v >> k) & (2**64 - 1) for v in name], np.uint64).view(np.int64) for k in (0, 64))
+            # windows settled here only tell other shards of themselves, once, as rows with lo -1
+            name = [xxhash.xxh3_128_intdigest(text[j : j + SPAN]) for j in range(n[i])]
+            new = np.array([not own[j] or name[j] not in told for j in range(n[i])])
+            told.update(name[j] for j in np.flatnonzero(own))
+            w, x = (np.array([(v >> k) & (2**64 - 1) for v in name], np.uint64).view(np.int64)[new] for k in (0, 64))
             none = np.zeros(len(w), np.int64)
-            put(h=none + h[i], d=none + d[i], lo=np.where(own, -1, np.arange(n[i])), hi=np.where(own, -2, -1), w=w, x=x)
+            put(h=none + h[i], d=none + d[i], lo=np.where(own, -1, np.arange(n[i]))[new], hi=none - 1, w=w, x=x)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[k]).astype(np.int64)) for k in out], list(out))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(k, g, lo, hi): byte ranges of the rows named by k, g whose windows repeat; ranges may overlap."""
-    rows = docs.select("k", "g", "text")
-    stretches = rows.mapInArrow(_named, "h long, d long, k long, g long, start int, n int")
+    stretches = docs.select("k", "g", "text").mapInArrow(_named, "h long, d long, k long, g long, start int, n int")
     common = stretches.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1").select("h")
     found = keep(stretches.join(common, "h"))
     kinds = keep(found.groupBy("h", "d").agg(F.count("*").alias("c"), F.min(F.struct("k", "g", "start", "n")).alias("at")))
@@ -159,13 +160,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     texts = docs.join(asked.groupBy("k", "g").agg(F.collect_list("one").alias("asked")), ["k", "g"])
     bodies = texts.mapInArrow(_cut, "h long, d long, n int, c long, shard int, shards int, body binary")
     arrays = bodies.repartition("h", "shard").sortWithinPartitions("h", "shard")
-    told = keep(arrays.mapInArrow(_sorted, "h long, d long, lo long, hi long, w long, x long"))
-    runs = told.where("hi >= 0").select("h", "d", "lo", "hi")
-    windows = told.where("hi < 0")
-    twice = windows.groupBy("w", "x").agg(F.count("*").alias("seen")).where("seen > 1")
-    across = windows.where("lo >= 0").join(twice, ["w", "x"]).select("h", "d", "lo", (F.col("lo") + 1).alias("hi"))
+    told = arrays.mapInArrow(_sorted, "h long, d long, lo long, hi long, w long, x long")
+    # a window is told once by a shard, so a group has a row for each shard of its anchor at most
+    told = told.withColumn("seen", F.count("*").over(Window.partitionBy("w", "x")))
+    runs = told.where("hi >= 0 OR (lo >= 0 AND seen > 1)").select("h", "d", "lo", F.when(F.col("hi") < 0, F.col("lo") + 1).otherwise(F.col("hi")).alias("hi"))
     copies = kinds.where("c > 1").select("h", "d", F.lit(0).cast("long").alias("lo"), F.col("at.n").cast("long").alias("hi"))
-    return found.join(runs.union(across).union(copies), ["h", "d"]).select("k", "g", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + SPAN - 1).alias("hi"))
+    return found.join(runs.union(copies), ["h", "d"]).select("k", "g", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + SPAN - 1).alias("hi"))
 
 
 def _strip(batches) -> Iterator[pa.RecordBatch]:
