@@ -21,6 +21,16 @@ def bit_field(hashes: DataFrame) -> np.ndarray:
     return field
 
 
+def only_in(rows: DataFrame, column: str, hashes: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is among ``hashes``, and a few others: a join with the pages of the bit field, 4 MB in all."""
+    at = lambda c: F.pmod(c, F.lit(FILTER_BITS))
+    bits = F.bitmap_construct_agg((at("term") % _PAGE).cast("long"))
+    pages = hashes.groupBy(F.floor(at("term") / _PAGE).alias("_page")).agg(bits.alias("_bits"))
+    placed = rows.withColumns({"_page": F.floor(at(column) / _PAGE), "_bit": (at(column) % _PAGE).cast("int")})
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.join(F.broadcast(pages), "_page").where(F.getbit(byte, F.col("_bit").bitwiseAND(7)) == 1).drop("_page", "_bit", "_bits")
+
+
 def passes(field: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = (h % np.uint64(FILTER_BITS)).astype(np.int64)
     return (field[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

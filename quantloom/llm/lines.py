@@ -1,12 +1,11 @@
-"""Fuzzy line dedup by MinHash.
+"""Fuzzy line dedup by MinHash, in SQL functions throughout.
 
-Lines of at least ``LEAST`` characters are judged. Equal lines are one entry. An entry's shingles are its runs of ``SHINGLE``
-bytes with A-Z lower-cased; its signature is one minimum for each of HASHES orders of their hashes, and each band is
-three of these. Entries of a bucket are candidates with the smallest and the largest entry of the bucket, in an order of
-the bucket's own; a candidate pair links when the exact Jaccard similarity of the shingle sets is at least ``ALIKE``. Of each
+Lines of at least ``LEAST`` characters are judged. Equal lines are one entry. An entry's shingles are the ``SHINGLE`` characters
+from the start of each of its words; its signature is one minimum for each of HASHES orders of their hashes, and each band
+is three of these. Entries of a bucket are candidates with the bucket's smallest entry, in an order of the bucket's own; a candidate
+pair links when the exact Jaccard similarity of the shingle sets is at least ``ALIKE``. Of each
 connected component, and of each set of equal lines, the first line stays, by doc_id, then text hash, then line number.
 
-Signatures are made in Arrow batches: as SQL functions they took more than the whole operator may (see the README).
 Only lines that are candidates are read again for the exact comparison, picked by a bit field of fixed size.
 
 A null text is an empty text: one line, too short to be judged. Null ids come last. Rows equal in id and text
@@ -16,110 +15,66 @@ as they are in ``without_duplicates`` and are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm import batches as b
-from quantloom.llm.bits import bit_field, passes
+from quantloom.llm.bits import only_in
 from quantloom.llm.graph import components
 from quantloom.llm.store import keep
 
-LEAST, SHINGLE, ALIKE, HASHES = 40, 9, 0.8, 24
-#: Each band is three orders of its own.
-BANDS = np.arange(HASHES).reshape(-1, 3)
-_ORDERS = b.mix(np.arange(1, HASHES + 1).astype(np.uint64)) | np.uint64(1)
+LEAST, SHINGLE, ALIKE, HASHES = 40, 16, 0.8, 12
+#: Eight triples of the twelve orders; every order is in two, and no two triples share two orders.
+BANDS = tuple((i, 4 + (i + k) % 4, 8 + (2 * i + k) % 4) for i in range(4) for k in range(2))
 
 
 def _text() -> Column:
     return F.coalesce("text", F.lit(""))
 
 
-def _lines(texts: b.Texts) -> tuple[np.ndarray, ...]:
-    """Row, number in the row, start, end and hash of every line that is long enough."""
-    starts, ends = texts.lines()
-    lead = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
-    # the row a line belongs to: rows begin in order, each with its own first line
-    n = np.diff(np.concatenate([[0], np.cumsum(texts.data == 10)])[texts.offs]) + 1
-    row = np.repeat(np.arange(texts.n), n)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    long = lead[ends] - lead[starts] >= LEAST
-    row, at, starts, ends = row[long], at[long], starts[long], ends[long]
-    return row, at, starts, ends, texts.hashes(starts, ends)
-
-
-def _signed(batches) -> Iterator[pa.RecordBatch]:
-    for part, texts in b.pieces(batches, "text"):
-        row, at, starts, ends, ids = _lines(texts)
-        low = texts.lower()
-        n = np.maximum(ends - starts - SHINGLE + 1, 1)
-        edges = np.concatenate([[0], np.cumsum(n)])
-        place = np.arange(edges[-1]) - np.repeat(edges[:-1] - starts, n)
-        h = low.hashes(place, place + SHINGLE) if len(place) else np.zeros(0, np.uint64)
-        least = np.stack([np.minimum.reduceat(h * k, edges[:-1]) if len(h) else h for k in _ORDERS])
-        keys = np.stack([b.chain_rows(least[band]) + np.uint64(i) for i, band in enumerate(BANDS)], 1)
-        own = pa.array(row)
-        keys = b.lists(b.mix(keys).ravel().view(np.int64), np.arange(len(row) + 1) * len(BANDS), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), part.column("doc_id").take(own), part.column("b").take(own), pa.array(at, pa.int32()), keys], ["id", "doc_id", "b", "at", "keys"])
-
-
-def _named(batches) -> Iterator[pa.RecordBatch]:
-    for part, texts in b.pieces(batches, "text"):
-        row, at, _, _, ids = _lines(texts)
-        own = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), part.column("doc_id").take(own), part.column("b").take(own), pa.array(at, pa.int32())], ["id", "doc_id", "b", "at"])
-
-
-def _picked(field: np.ndarray):
-    """The bytes of the lines whose id passes the bit field."""
+def judged_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, b (hash of the text), at (line number from 0), line and id of every line that is long enough."""
+    lines = docs.select("doc_id", F.xxhash64(_text()).alias("b"), F.posexplode(F.split(_text(), "\n")).alias("at", "line"))
+    return lines.where(F.char_length("line") >= LEAST).withColumn("id", F.xxhash64("line"))
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for _, texts in b.pieces(batches, "text"):
-            _, _, starts, ends, ids = _lines(texts)
-            _, first = np.unique(ids, return_index=True)
-            first = first[passes(field, ids[first])]
-            found = [texts.data[i:j].tobytes() for i, j in zip(starts[first], ends[first])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first].view(np.int64)), pa.array(found, pa.binary())], ["id", "line"])
 
-    return run
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _alike(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        near = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            x, y = (bytes(b.LOWER[np.frombuffer(v, np.uint8)]) for v in (x, y))
-            x, y = ({v[i : i + SHINGLE] for i in range(max(1, len(v) - SHINGLE + 1))} for v in (x, y))
-            common = len(x & y)
-            near.append(common >= ALIKE * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("u", "v")], ["u", "v"])
+def shingles(line: str) -> Column:
+    """The first SHINGLE characters from each word on, of the word and the two after it."""
+    start = lambda w: F.transform(w, lambda x, i: F.substring(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)), 1, SHINGLE))
+    return F.array_distinct(_bound(F.split(line, " "), start))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64(_text()).alias("b"), _text().alias("text"))
+def band_keys(line: str) -> Column:
+    masks = F.array(*[F.xxhash64(F.lit(k)) for k in range(HASHES)])
+    hashes = F.transform(shingles(line), lambda s: F.xxhash64(s))
+    signature = _bound(hashes, lambda hs: F.transform(masks, lambda m: F.array_min(F.transform(hs, lambda h: h.bitwiseXOR(m)))))
+    return _bound(signature, lambda s: F.array(*[F.xxhash64(F.lit(i), *[F.get(s, F.lit(p)) for p in triple]) for i, triple in enumerate(BANDS)]))
 
 
 def line_kinds(docs: DataFrame) -> DataFrame:
     """id, n, first (place of the first such line) and keys (bands) of every different line."""
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "b", "at")
-    signed = _rows(docs).mapInArrow(_signed, "id long, doc_id long, b long, at int, keys array<long>")
-    return signed.groupBy("id").agg(F.count("*").alias("n"), F.min(first).alias("first"), F.min("keys").alias("keys"))
+    signed = judged_lines(docs).select("id", first.alias("first"), band_keys("line").alias("keys"))
+    return signed.groupBy("id").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.first("keys").alias("keys"))
 
 
 def similar_lines(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     """Edges (u, v) between ids of different lines that are alike."""
     dealt = kinds.select("id", F.explode("keys").alias("key"))
-    own = F.col("id").bitwiseXOR(F.xxhash64("key"))
-    ends = dealt.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low < high")
-    pairs = dealt.join(ends, "key").select("id", F.explode(F.array(*[F.col(c).bitwiseXOR(F.xxhash64("key")) for c in ("low", "high")])).alias("other"))
-    pairs = keep(pairs.where("id <> other").select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct())
+    mask = F.xxhash64("key")
+    ends = dealt.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("low"), F.count("*").alias("n")).where("n > 1")
+    pairs = dealt.join(ends, "key").select("id", F.col("low").bitwiseXOR(mask).alias("other")).where("id <> other")
+    pairs = keep(pairs.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct())
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("term"))
-    found = _rows(docs).mapInArrow(_picked(bit_field(wanted)), "id long, line binary").groupBy("id").agg(F.min("line").alias("line"))
-    left, right = (found.select(F.col("id").alias(c), F.col("line").alias(n)) for c, n in (("u", "x"), ("v", "y")))
-    return pairs.join(left, "u").join(right, "v").mapInArrow(_alike, "u long, v long")
+    found = only_in(judged_lines(docs).select("id", "line"), "id", wanted).groupBy("id").agg(F.min("line").alias("line"))
+    left, right = (found.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line")) for c in "uv")
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", shingles("u_line").alias("x"), shingles("v_line").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= ALIKE * (F.size("x") + F.size("y") - common)).select("u", "v")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -129,7 +84,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     classes = kinds.join(roots, kinds["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "n", "first")
     kept = classes.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1")
     where = classes.select("id", "root").join(kept, "root").select("id", F.col("first").alias("kept"))
-    lines = _rows(docs).mapInArrow(_named, "id long, doc_id long, b long, at int")
+    lines = judged_lines(docs).select("doc_id", "b", "at", "id")
     fall = lines.join(where, "id").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("b") == F.col("kept.b")) & (F.col("at") == F.col("kept.at"))))
     return fall.groupBy("doc_id", "b").agg(F.array_sort(F.collect_set("at")).alias("removed"))
 
