@@ -42,15 +42,19 @@ def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _each_shingle(line: str, use) -> Column:
+    """``use`` of the first SHINGLE characters from each word on, of the word and the two after it."""
+    start = lambda w: F.transform(w, lambda x, i: use(F.substring(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)), 1, SHINGLE)))
+    return _bound(F.split(line, " "), start)
+
+
 def shingles(line: str) -> Column:
-    """The first SHINGLE characters from each word on, of the word and the two after it."""
-    start = lambda w: F.transform(w, lambda x, i: F.substring(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)), 1, SHINGLE))
-    return F.array_distinct(_bound(F.split(line, " "), start))
+    return F.array_distinct(_each_shingle(line, lambda s: s))
 
 
 def band_keys(line: str) -> Column:
     masks = F.array(*[F.xxhash64(F.lit(k)) for k in range(HASHES)])
-    hashes = F.transform(shingles(line), lambda s: F.xxhash64(s))
+    hashes = _each_shingle(line, F.xxhash64)
     signature = _bound(hashes, lambda hs: F.transform(masks, lambda m: F.array_min(F.transform(hs, lambda h: h.bitwiseXOR(m)))))
     return _bound(signature, lambda s: F.array(*[F.xxhash64(F.lit(i), *[F.get(s, F.lit(p)) for p in triple]) for i, triple in enumerate(BANDS)]))
 
