@@ -19,7 +19,7 @@ from quantloom.llm.store import keep
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: Entropy wanted as a share of the greatest, times a token is read at most, rows of a block, bisection steps a pass and passes.
-EVEN, REPEATS, BLOCK, STEPS, PASSES = 0.97, 4.0, 1024, 8, 5
+EVEN, REPEATS, BLOCK, STEPS, PASSES = 0.97, 4.0, 1024, 4, 10
 SEED = 11
 
 

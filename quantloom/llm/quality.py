@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quantloom.llm import batches as b
-from quantloom.llm.labelled import SAMPLE, sample
+from quantloom.llm.labelled import sample
 from quantloom.llm.structure import Structure
 
 #: Hash slots of word n-grams and of character n-grams; gram lengths; least probability that a kept row has.
 SLOTS, WORD_GRAMS, CHAR_GRAMS, LEAST = 1 << 15, (1, 2), (3,), 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
+#: Labelled rows the model is fitted on at most; their n-gram counts are all that the driver receives.
+SAMPLE = 2048
 _SCALE = 30.0
 
 
