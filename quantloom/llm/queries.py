@@ -23,6 +23,43 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _listed(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_TEMPLATES = ", ".join(f"('{label}', {_listed(own)}, {licenses.need(len(own))})" for label, own in ((x, licenses.words_of(t)) for x, t in licenses.TEMPLATES))
+_PLACES = [(label, " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split()))) for p, label in licenses.PHRASES.items()]
+
+_OP2 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w, {_LOW} AS low FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, {", ".join(f"list_filter(range(1, len(w) + 1), lambda i: {test}) AS {label}" for label, test in _PLACES)} FROM d),
+l AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d),
+t(label, own, need) AS (VALUES {_TEMPLATES}),
+m AS (SELECT doc_id, label, len(list_intersect(list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')), own)) AS n, len(own) AS size, need FROM l, t),
+f AS (SELECT doc_id, list(DISTINCT label) AS found, max(n / size) AS share FROM m WHERE n >= need GROUP BY doc_id),
+j AS (SELECT p.*, found, share, list_concat(mit, apache, gpl) AS places, list_filter([CASE WHEN len(mit) > 0 THEN 'mit' END, CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END], lambda x: x IS NOT NULL) AS base
+      FROM p LEFT JOIN f USING (doc_id))
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(found, [])))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM j
+"""
+
+_BITS = "list_aggregate(list_transform(range(1, 41), lambda j: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', substr(h, j, 1)) - 1) + 1, 4)), 'string_agg', '')"
+_FIVE = " + ".join(f"{16 >> k} * CAST(substr(bits, 5 * i + {k + 1}, 1) AS INTEGER)" for k in range(5))
+
+_OP7 = f"""
+WITH r AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+s AS (SELECT *, {_BITS} AS bits, max(page_id) OVER (PARTITION BY h) AS largest FROM r)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {_FIVE} + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM s
+"""
+
+
 @_query("op1_suffix_array_dedup")
 def _op1(table):
     left = repeats.without_repeats(table("documents"))
@@ -30,7 +67,7 @@ def _op1(table):
     return left.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@_query("op2_license_scans")
+@_query("op2_license_scans", _OP2)
 def _op2(table):
     return licenses.scan(table("documents"))
 
@@ -58,7 +95,7 @@ def _op6(table):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-@_query("op7_warc")
+@_query("op7_warc", _OP7)
 def _op7(table):
     return warc.round_trip(table("pages"))
 
@@ -68,11 +105,9 @@ def _op8(table):
     return lines.line_report(table("documents"))
 
 
-_WORDS9 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
-
 _OP9 = f"""
-WITH d AS (SELECT doc_id, {_WORDS9} AS w FROM documents),
-b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, {_WORDS9} AS w FROM benchmark),
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, {_WORDS} AS w FROM benchmark),
 p AS (SELECT DISTINCT item_id, k, list_aggregate(w[i : i + k - 1], 'string_agg', ' ') AS phrase
       FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 g AS (SELECT doc_id, i, k, list_aggregate(w[i : i + k - 1], 'string_agg', ' ') AS phrase
