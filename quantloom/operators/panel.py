@@ -347,12 +347,15 @@ class Panel:
     def ewm(self, x, alpha: float, adjust: bool, minp: int = 0):
         """Exponentially weighted mean, without a recursion.
 
-        The decayed sum up to a row is the part inside the row's block of rows plus the decayed
-        total of the previous block; blocks are so long that anything older weighs under 1e-19.
+        The decayed sum up to a row is the part inside the row's block of rows plus the decayed total of the last
+        earlier block that holds values; blocks are so long that whatever stands before weighs under 1e-19 of that.
+        Until a block has a value of its own the mean is that of the earlier block, however long ago it was.
         """
 
         def build():
             keep = 1.0 - alpha
+            if keep == 0.0:
+                return F.when(F.count(x).over(self._past()) >= minp, self.ffill(x))
             need = max(4, math.ceil(-46.0 / math.log(keep)))
             # a few common sizes, so that averages of many spans share their blocks and sorts
             size = 64
@@ -366,13 +369,18 @@ class Panel:
             grown = F.pow(F.lit(keep), -at.cast("double"))
             num = self.stage(F.when(x.isNotNull(), weight * x * grown))
             den = self.stage(F.when(x.isNotNull(), weight * grown))
-            inside = Window.partitionBy(self.symbol, block).orderBy(self.date).rowsBetween(Window.unboundedPreceding, 0)
-            before = Window.partitionBy(self.symbol).orderBy(block).rangeBetween(-1, -1)
+            whole = Window.partitionBy(self.symbol, block)
+            inside = whole.orderBy(self.date).rowsBetween(Window.unboundedPreceding, 0)
+            earlier = Window.partitionBy(self.symbol).orderBy(block).rangeBetween(Window.unboundedPreceding, -1)
+            total = [self.stage(F.sum(c).over(whole)) for c in (num, den)]
+            old_top, old_bottom = (self.stage(F.last(c, ignorenulls=True).over(earlier)) for c in total)
+            gap = block - self.stage(F.last(F.when(total[1].isNotNull(), block), ignorenulls=True).over(earlier))
+            carry = F.pow(F.lit(keep**size), gap.cast("double"))
             zero = F.lit(0.0)
-            carry = F.lit(keep**size)
-            top = F.coalesce(F.sum(num).over(inside), zero) + carry * F.coalesce(F.sum(num).over(before), zero)
-            bottom = F.coalesce(F.sum(den).over(inside), zero) + carry * F.coalesce(F.sum(den).over(before), zero)
-            value = F.try_divide(top, bottom)
+            new_top, new_bottom = (self.stage(F.sum(c).over(inside)) for c in (num, den))
+            top = new_top + F.coalesce(carry * old_top, zero)
+            bottom = new_bottom + F.coalesce(carry * old_bottom, zero)
+            value = F.when(new_bottom.isNull(), F.try_divide(old_top, old_bottom)).otherwise(F.try_divide(top, bottom))
             return F.when((t >= began) & (F.count(x).over(self._past()) >= minp), value)
 
         return self._once(build, "ewm", x, alpha, adjust, minp)
@@ -401,7 +409,7 @@ class Panel:
                 groups = self.df.groupBy(*keys).agg(*[aggs[n](F.col("_x")).alias(h) for n, h in zip(names, hidden)])
                 # one row per session and label: bounded by the calendar, broadcast when by is empty
                 groups = F.broadcast(groups) if not by else groups
-                self.df = self.df.join(groups, keys, "left").drop("_x")
+                self.df = ranking.null_safe(self.df, groups, keys, "left").drop("_x")
                 for n, h in zip(names, hidden):
                     self._staged[key + (n,)] = h
         return [F.col(self._staged[key + (n,)]) for n in names]
@@ -430,7 +438,7 @@ class Panel:
         self.df = cut(self.df.withColumn("_x", x))
         keys = [self.date, *by]
         table = ranking.percentiles(self.df, keys, "_x", {name: q})
-        self.df = self.df.join(table, keys, "left").drop("_x")
+        self.df = ranking.null_safe(self.df, table, keys, "left").drop("_x")
         return F.col(name)
 
     def rank(self, x, by=()):

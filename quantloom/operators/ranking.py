@@ -55,12 +55,19 @@ def _code(counted: DataFrame, value: str) -> Column:
 
 
 def _equi(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on ``keys``; with no keys the right side is the single row of a global aggregate."""
+    """Inner join on ``keys``, null keys equal; with no keys the right side is the single row of a global aggregate."""
     if keys:
-        return left.join(right, keys)
+        return null_safe(left, right, keys, "inner")
     return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), ["_one"]).drop("_one")
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys`` with null equal to null, as a window over the keys groups them; the keys come once."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def _match(df: DataFrame, ranks: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Attach ranks to rows; the right side is unique per key, so a hot value only skews the left, which AQE splits."""
     right = ranks.select(

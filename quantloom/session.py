@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -18,11 +17,10 @@ def window_group_limit(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as named by ``spark.checkpoint.dir``; a temporary one when unset."""
+    """The folder all executors see, as named by ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="quantloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named
 
 
@@ -47,7 +45,7 @@ def spread(df, key: str, rows: int):
 
 
 def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the bench; on a cluster the caller supplies its own."""
+    """A local session for tests and the bench; on a cluster the caller supplies its own, with a shared folder."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("quantloom")
