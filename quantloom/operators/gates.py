@@ -47,7 +47,8 @@ def gate_mined(
     """Structural or probation adoption of candidates from their daily ICs, one Benjamini-Hochberg family.
 
     ``ic`` has (cand, date, tier, ic). Unseen tiers are virgin_early, holdout and fresh; the recent ones
-    are the last two. Both p-values of every candidate enter the family.
+    are the last two. Both p-values of every candidate enter the family. A candidate without unseen rows has no
+    p-values and is not adopted.
     """
     by_tier = summarize_ic(ic, 0, by=["cand", "tier"])
     available = C("n_days") >= F.when(C("tier") == "fresh", fresh_min).otherwise(1)
@@ -65,8 +66,8 @@ def gate_mined(
     pooled = summarize_ic(ic.where(C("tier") != "seen_dev"), 0, by=["cand"])
     recent = summarize_ic(ic.where(C("tier").isin("holdout", "fresh")), 0, by=["cand"])
     rows = (
-        wide.join(pooled.select("cand", C("t_stat").alias("_pt")), "cand")
-        .join(recent.select("cand", C("t_stat").alias("_rt"), C("ic_mean").alias("_ric")), "cand")
+        wide.join(pooled.select("cand", C("t_stat").alias("_pt")), "cand", "left")
+        .join(recent.select("cand", C("t_stat").alias("_rt"), C("ic_mean").alias("_ric")), "cand", "left")
         .withColumn("_sign", direction)
     )
     rows = cut(
@@ -74,7 +75,7 @@ def gate_mined(
             {"pooled_p": snap(onesided_p(C("_pt"), C("_sign"))), "recent_p": snap(onesided_p(C("_rt"), C("_sign")))}
         )
     )
-    family = rows.select(F.explode(F.array("pooled_p", "recent_p")).alias("p"))
+    family = rows.select(F.explode(F.array("pooled_p", "recent_p")).alias("p")).where(C("p").isNotNull())
     flagged = bh_flags(family, "p", q)
     level = flagged.agg(F.coalesce(F.max(F.when(C("rejected") == 1, C("p"))), F.lit(-1.0))).scalar()
     tiers = [C("_ve"), C("_ho"), C("_fr")]

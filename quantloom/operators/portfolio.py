@@ -163,9 +163,11 @@ def one_day_returns(book: DataFrame, prices: DataFrame, cost: float) -> DataFram
 def risk_rows(prices: DataFrame, window: int, min_periods: int, max_rows=None) -> DataFrame:
     """Per (date, symbol): return, market and sector return, ex-ante beta, and residual; they add up exactly.
 
-    The market is the equal-weight mean of the date. Beta covers the ``window`` sessions before the row.
+    The market is the equal-weight mean of the date. Beta covers the ``window`` sessions before the row. Names without a
+    sector form the sector "Unknown".
     """
     w = Window.partitionBy("symbol").orderBy("date")
+    prices = prices.withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
     rows = prices.withColumn("r", div(C("close"), F.lag("close").over(w)) - 1).where(C("r").isNotNull())
     market = rows.groupBy("date").agg(F.avg("r").alias("market"))
     sessions = session_table(market.select("date"))

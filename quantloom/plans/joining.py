@@ -17,20 +17,19 @@ def weekday_bars(t):
 
 
 def order_events(t):
-    """symbol, day, val, key per order; one symbol in ten has no events at all."""
+    """symbol, day, val, key per order; the symbol with the largest number has no events at all."""
     n = t.rows("supplier")
-    ev = t.orders.select(
+    return t.orders.select(
         (C("o_custkey") % n).alias("symbol"), F.to_date("o_orderdate").alias("day"), C("o_totalprice").alias("val"),
-        C("o_orderkey").alias("key"), C("o_orderstatus").alias("st"),
+        C("o_orderkey").alias("key"),
     )
-    return ev.where(C("symbol") % 10 != 4)
 
 
 BASE = """WITH b AS (SELECT * FROM {long} WHERE dayofweek(date) BETWEEN 1 AND 5),
  s AS (SELECT date, row_number() OVER (ORDER BY date) AS ord FROM (SELECT DISTINCT date FROM b)),
  p AS (SELECT b.*, s.ord FROM b JOIN s USING (date)),
- ev AS (SELECT * FROM (SELECT o_custkey % (SELECT count(*) FROM supplier) AS symbol, CAST(o_orderdate AS DATE) AS day,
-   o_totalprice AS val, o_orderkey AS key, o_orderstatus AS st FROM orders) WHERE symbol % 10 <> 4),
+ ev AS (SELECT o_custkey % (SELECT count(*) FROM supplier) AS symbol, CAST(o_orderdate AS DATE) AS day,
+   o_totalprice AS val, o_orderkey AS key FROM orders),
  ge AS (SELECT ev.*, s.date AS session, s.ord FROM ev ASOF JOIN s ON ev.day <= s.date),
  gt AS (SELECT ev.*, s.date AS session, s.ord FROM ev ASOF JOIN s ON ev.day < s.date),
  lim AS (SELECT coalesce((SELECT min(date) FROM s WHERE date > (SELECT max(day) FROM ev)), DATE '2100-01-01') AS lim)"""
@@ -142,8 +141,7 @@ def attach_form4(t):
 
 
 def short_interest(t):
-    ev = order_events(t).where(C("st") == "F")
-    return ev.select(
+    return order_events(t).select(
         "symbol", C("day").alias("settled"), (C("val") * 3).alias("short_interest"), (C("val") / 5000).alias("days_to_cover")
     )
 
@@ -152,7 +150,7 @@ def short_interest(t):
     "attach_short_interest",
     BASE
     + FILED
-    + """, si AS (SELECT symbol, ord + 10 AS eff, arg_max(val * 3, (day, val)) AS si, arg_max(val / 5000, (day, val)) AS dtc FROM ge WHERE st = 'F' GROUP BY ALL)
+    + """, si AS (SELECT symbol, ord + 10 AS eff, arg_max(val * 3, (day, val)) AS si, arg_max(val / 5000, (day, val)) AS dtc FROM ge GROUP BY ALL)
        SELECT f.symbol, f.date, CASE WHEN f.ord - si.eff <= 40 THEN si.si / (marketcap * 1e6 / close) END AS short_ratio,
          CASE WHEN f.ord - si.eff <= 40 THEN dtc END AS days_to_cover
        FROM f ASOF LEFT JOIN si ON f.symbol = si.symbol AND f.ord >= si.eff""",
@@ -182,9 +180,7 @@ FACTS = {
 
 
 def fundamentals(t):
-    return order_events(t).where(C("st") == "O").select(
-        "symbol", C("day").alias("filed"), *[F.expr(e).alias(n) for n, e in FACTS.items()]
-    )
+    return order_events(t).select("symbol", C("day").alias("filed"), *[F.expr(e).alias(n) for n, e in FACTS.items()])
 
 
 _RATIOS = {
@@ -204,7 +200,7 @@ _FUND_SQL = (
     BASE
     + FILED
     + f""", fu AS (SELECT symbol, ord + 1 AS eff, arg_max({{'k': (day, key), {", ".join(f"'{n}': {e}" for n, e in FACTS.items())}}},
-     (day, {", ".join(f"coalesce({e}, -1e300)" for e in FACTS.values())})) AS v FROM ge WHERE st = 'O' GROUP BY ALL),
+     (day, {", ".join(f"coalesce({e}, -1e300)" for e in FACTS.values())})) AS v FROM ge GROUP BY ALL),
    fx AS (SELECT f.symbol, f.date, f.marketcap * 1e6 AS cap, {", ".join(f"CASE WHEN f.ord - fu.eff <= 300 THEN v.{n} END AS {n}" for n in FACTS)}
      FROM f ASOF LEFT JOIN fu ON f.symbol = fu.symbol AND f.ord >= fu.eff)
    SELECT symbol, date, {", ".join(f"CASE WHEN {b} > 0 THEN ({a}) / {b} END AS {n}" for n, (a, b) in _RATIOS.items())},
@@ -235,7 +231,7 @@ def attach_short_volume(t):
 
 
 def institutions(t):
-    return order_events(t).where(C("st") == "P").select(
+    return order_events(t).select(
         "symbol", F.last_day("day").alias("usable_from"), (C("val") * 30).alias("inst_shares"),
         (C("key") % 500).cast("double").alias("inst_holders"), ((C("key") % 90) / 100).alias("inst_top5"),
     )
@@ -245,7 +241,7 @@ def institutions(t):
     "attach_form13f",
     BASE
     + FILED
-    + """, q0 AS (SELECT symbol, last_day(day) AS day, val * 30 AS a, CAST(key % 500 AS DOUBLE) AS h, (key % 90) / 100 AS t5 FROM ev WHERE st = 'P'),
+    + """, q0 AS (SELECT symbol, last_day(day) AS day, val * 30 AS a, CAST(key % 500 AS DOUBLE) AS h, (key % 90) / 100 AS t5 FROM ev),
        q1 AS (SELECT q0.*, s.ord FROM q0 ASOF JOIN s ON q0.day < s.date),
        q AS (SELECT symbol, ord AS eff, arg_max({'a': a, 'h': h, 't5': t5}, (day, a, h, t5)) AS v FROM q1 GROUP BY ALL)
        SELECT f.symbol, f.date, CASE WHEN f.ord - q.eff <= 70 THEN v.a / (marketcap * 1e6 / close) END AS inst_own,
@@ -324,7 +320,7 @@ def attach_all(t):
 
 
 INTERVALS = """(SELECT symbol, min(day) + 100 AS start, CASE WHEN symbol % 4 <> 0 THEN max(day) - 200 END AS "end" FROM
-  (SELECT o_custkey % (SELECT count(*) FROM supplier) AS symbol, CAST(o_orderdate AS DATE) AS day FROM orders) WHERE symbol % 10 <> 4 GROUP BY symbol)"""
+  (SELECT o_custkey % (SELECT count(*) FROM supplier) AS symbol, CAST(o_orderdate AS DATE) AS day FROM orders) GROUP BY symbol)"""
 
 
 def intervals(t):
@@ -357,7 +353,7 @@ def independent_mask(t):
 @query(
     "pead_features",
     BASE
-    + """, a0 AS (SELECT symbol, day, min(val / 1000 - 150) AS surprise FROM ev WHERE st = 'F' GROUP BY ALL),
+    + """, a0 AS (SELECT symbol, day, min(val / 1000 - 150) AS surprise FROM ev GROUP BY ALL),
        a1 AS (SELECT a0.*, s.ord FROM a0 ASOF JOIN s ON a0.day <= s.date),
        a2 AS (SELECT symbol, ord AS a_ord, arg_max(surprise, day) AS surprise FROM a1 GROUP BY ALL),
        a AS (SELECT a2.symbol, a_ord, a_ord + 1 AS eff, greatest(-100, least(surprise, 100)) AS surprise, n.close / c.close - 1 AS react
@@ -370,7 +366,7 @@ def independent_mask(t):
     d="date",
 )
 def pead_features(t):
-    ann = order_events(t).where(C("st") == "F").select("symbol", "day", (C("val") / 1000 - 150).alias("surprise"))
+    ann = order_events(t).select("symbol", "day", (C("val") / 1000 - 150).alias("surprise"))
     return jn.pead(weekday_bars(t), ann)
 
 

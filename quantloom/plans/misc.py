@@ -119,10 +119,10 @@ def psar(t):
 # -- sets ----------------------------------------------------------------------------------------------
 
 
-@query("union_panels", "SELECT symbol, date, close FROM {long} WHERE year(date) IN (1996, 1998)", d="date")
+@query("union_panels", "SELECT symbol, date, close FROM {long}", d="date")
 def union_panels(t):
     b = t.long_bars().select("symbol", "date", "close")
-    return b.where(F.year("date") == 1996).unionByName(b.where(F.year("date") == 1998))
+    return b.where(F.year("date") < 1996).unionByName(b.where(F.year("date") >= 1996))
 
 
 @query(

@@ -434,7 +434,7 @@ def pivot_iv(t):
 # -- event-time reconstruction -------------------------------------------------------------------------
 
 N = "(SELECT count(*) FROM supplier)"
-CHG = f"""ch AS (SELECT DISTINCT o_custkey % {N} AS symbol, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS kind FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % {N} % 10 <> 4)"""
+CHG = f"""ch AS (SELECT DISTINCT o_custkey % {N} AS symbol, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS kind FROM orders WHERE o_orderstatus <> 'P')"""
 
 
 def owner(t):
@@ -458,7 +458,7 @@ def index_intervals(t):
     current = t.supplier.where(C("s_suppkey") % 2 == 0).select(
         C("s_suppkey").alias("symbol"), F.when(C("s_suppkey") % 4 == 0, F.lit("1994-06-01").cast("date")).alias("added")
     )
-    return hs.index_intervals(o.where(C("symbol") % 10 != 4), current)
+    return hs.index_intervals(o, current)
 
 
 RANKED = """mr AS (SELECT symbol, last_day(date) AS date, row_number() OVER (PARTITION BY last_day(date) ORDER BY sum(volume) DESC, symbol) AS rank, max(date) AS seen FROM {long} GROUP BY symbol, last_day(date))"""

@@ -569,8 +569,8 @@ GATE = f"""{TIERED}, w AS (SELECT cand, CASE WHEN cand % 2 = 0 THEN 1 ELSE -1 EN
   ng AS (SELECT ti.cand, count(*) FILTER (WHERE t_stat * sg <= -2 AND (tier <> 'fresh' OR n_days >= 60)) AS neg FROM ti JOIN w USING (cand) GROUP BY ti.cand),
   po AS (SELECT symbol AS cand, avg(f1) / stddev_samp(f1) * sqrt(count(f1)) AS t FROM fx WHERE {TIER} <> 'seen_dev' AND f1 IS NOT NULL GROUP BY symbol),
   re AS (SELECT symbol AS cand, avg(f1) AS ic, avg(f1) / stddev_samp(f1) * sqrt(count(f1)) AS t FROM fx WHERE {TIER} IN ('holdout', 'fresh') AND f1 IS NOT NULL GROUP BY symbol),
-  k AS (SELECT w.*, ng.neg, po.t AS pt, re.t AS rt, re.ic AS ric, {snap_sql(_P("po.t * w.sg"))} AS pp, {snap_sql(_P("re.t * w.sg"))} AS rp FROM w JOIN ng USING (cand) JOIN po USING (cand) JOIN re USING (cand)),
-  fam AS (SELECT p, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM (SELECT pp AS p FROM k UNION ALL SELECT rp FROM k)),
+  k AS (SELECT w.*, ng.neg, po.t AS pt, re.t AS rt, re.ic AS ric, {snap_sql(_P("po.t * w.sg"))} AS pp, {snap_sql(_P("re.t * w.sg"))} AS rp FROM w JOIN ng USING (cand) LEFT JOIN po USING (cand) LEFT JOIN re USING (cand)),
+  fam AS (SELECT p, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM (SELECT pp AS p FROM k UNION ALL SELECT rp FROM k) WHERE p IS NOT NULL),
   th AS (SELECT coalesce(max(p), -1) AS th FROM fam WHERE p <= 0.5 * r / m),
   z AS (SELECT *, (ho_ic IS NOT NULL)::INT + (fr_ic IS NOT NULL)::INT + (ve_ic IS NOT NULL)::INT AS avail,
     coalesce((sg * ho_ic > 0)::INT, 0) + coalesce((sg * fr_ic > 0)::INT, 0) + coalesce((sg * ve_ic > 0)::INT, 0) AS pos FROM k, th)"""

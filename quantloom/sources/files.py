@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,7 +79,8 @@ def json_facts(df: DataFrame, key: str, doc: str, taxonomy: str, tags: list[str]
     )
     order = F.array_position(F.array(*[F.lit(t) for t in tags]), F.col("tag"))
     rows = facts.select(key, "tag", "_row.end", "_row.filed", "_row.val", order.alias("_pref"))
-    return rows.groupBy(key, "filed", "end").agg(F.min_by("val", "_pref").alias("val"), F.min_by("tag", "_pref").alias("tag"))
+    best = F.min("_pref").over(Window.partitionBy(key, "filed"))
+    return rows.withColumn("_best", best).where("_pref = _best").groupBy(key, "filed", "end").agg(F.min_by("val", "_pref").alias("val"), F.min_by("tag", "_pref").alias("tag"))
 
 
 def event_rows(spark: SparkSession, path: str) -> DataFrame:
