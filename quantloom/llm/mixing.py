@@ -75,7 +75,8 @@ def mix(docs: DataFrame, even: float = EVEN, repeats: float = REPEATS, ratio: fl
     budget = F.floor(F.lit(ratio * (total["t"] or 0)) * F.exp(a * F.ln(F.col("tokens").cast("double"))) / F.lit(total["z"]) + 1e-6)
     plan = sources.select("key", F.floor(budget / F.col("tokens")).cast("int").alias("whole"), (budget % F.col("tokens")).cast("long").alias("rest"), F.ceil(F.col("rows") / BLOCK).alias("blocks"))
     placed = rows.join(plan, "key").withColumn("own", F.pmod("draw", "blocks"))
-    placed = placed.select("doc_id", "source", "key", "draw", "n_tokens", "whole", "rest", "own")
+    # dealt by block, or the windows below would stay with the join's dealing, by source alone
+    placed = placed.select("doc_id", "source", "key", "draw", "n_tokens", "whole", "rest", "own").repartition("key", "own")
     # the last, partial pass: blocks in permuted order, then rows in permuted order inside each block
     order = Window.partitionBy("key").orderBy(F.xxhash64("own", "whole", F.lit(SEED)), "own")
     sums = placed.groupBy("key", "own", "whole").agg(F.sum("n_tokens").alias("held"))
