@@ -23,6 +23,8 @@ from quantloom.llm.graph import components
 from quantloom.llm.store import keep
 
 LEAST, SHINGLE, ALIKE, HASHES = 40, 16, 0.8, 12
+#: Looks ahead from every word's start, then passes the word.
+FROM_WORD = f"(?s)(?:^| )(?=(.{{0,{SHINGLE}}}))[^ ]*"
 #: Eight triples of the twelve orders; every order is in two, and no two triples share two orders.
 BANDS = tuple((i, 4 + (i + k) % 4, 8 + (2 * i + k) % 4) for i in range(4) for k in range(2))
 
@@ -43,9 +45,8 @@ def _bound(value: Column, use) -> Column:
 
 
 def _each_shingle(line: str, use) -> Column:
-    """``use`` of the first SHINGLE characters from each word on, of the word and the two after it."""
-    start = lambda w: F.transform(w, lambda x, i: use(F.substring(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)), 1, SHINGLE)))
-    return _bound(F.split(line, " "), start)
+    """``use`` of the SHINGLE characters from the start of each word, fewer at the end of the line."""
+    return F.transform(F.regexp_extract_all(line, F.lit(FROM_WORD), F.lit(1)), use)
 
 
 def shingles(line: str) -> Column:
@@ -54,7 +55,7 @@ def shingles(line: str) -> Column:
 
 def band_keys(line: str) -> Column:
     masks = F.array(*[F.xxhash64(F.lit(k)) for k in range(HASHES)])
-    hashes = _each_shingle(line, F.xxhash64)
+    hashes = _each_shingle(line, lambda x: F.xxhash64(x))
     signature = _bound(hashes, lambda hs: F.transform(masks, lambda m: F.array_min(F.transform(hs, lambda h: h.bitwiseXOR(m)))))
     return _bound(signature, lambda s: F.array(*[F.xxhash64(F.lit(i), *[F.get(s, F.lit(p)) for p in triple]) for i, triple in enumerate(BANDS)]))
 

@@ -123,6 +123,30 @@ def test_line_dedup(docs):
     assert left.columns == docs.columns and left.count() == len(texts())
 
 
+def test_line_dedup_against_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    rows, spell = [], lambda: "".join(rng.choice(list("abcdeé😀 "), rng.integers(1, 9)))
+    for seed in range(60):
+        own = [spell() for _ in range(40)]
+        for edits in (0, 0, 1, 1, 2, 3, 9):
+            line = list(own)
+            for at in rng.choice(40, edits, replace=False):
+                line[at] = spell()
+            rows.append((len(rows), "short\n" + " ".join(line)))
+    cut = [{t[6:][i : i + lines.SHINGLE] for i in [0] + [k + 1 for k, c in enumerate(t[6:]) if c == " "]} for _, t in rows]
+    root = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if len(cut[x] & cut[y]) >= lines.ALIKE * len(cut[x] | cut[y]):
+                low, high = sorted((root[x], root[y]))
+                root = [low if r == high else r for r in root]
+    want = {i for i, r in enumerate(root) if r != i}
+    report = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"] for r in report if r["removed"] == [1]}
+    # banding may miss links, most of all near the limit, where this fixture has many: 161 of 166 when it was written
+    assert got <= want and len(got) >= 0.95 * len(want) > 100
+
+
 @pytest.mark.parametrize("size", [10, 3])
 def test_decontamination(spark, docs, size):
     words = {i: re.findall(ALNUM, (t or "").translate(LOW)) for i, t in texts()}
