@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_cdf = np.vectorize(lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)), otypes=[float])
+from quantloom.functions.normal import upper_tail
 
 
 def price(spot, strike, years, rate, sigma, call):
@@ -19,7 +17,7 @@ def price(spot, strike, years, rate, sigma, call):
     d2 = d1 - root
     paid = strike * np.exp(-rate * years)
     side = np.where(call, 1.0, -1.0)
-    return side * (spot * _cdf(side * d1) - paid * _cdf(side * d2))
+    return side * (spot * upper_tail(-side * d1) - paid * upper_tail(-side * d2))
 
 
 @F.pandas_udf(T.DoubleType())

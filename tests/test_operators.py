@@ -1,6 +1,7 @@
 """Operators without a SQL twin, and hand-made fixtures."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -105,3 +106,12 @@ def test_training_learns_a_planted_factor(spark):
     assert min(e.ics["real"].values()) > 0.6 and e.blend()["real"] > 0.5
     pred = ml.predict(e, df)
     assert ev.daily_rank_ic(pred, "pred", "label", 20).agg(F.avg("ic")).first()[0] > 0.5
+
+
+def test_normal_tail_is_exact_in_both_tails():
+    z = np.append(np.linspace(-9.0, 36.0, 20_001), [0.0, np.inf, -np.inf])
+    want = np.array([0.5 * math.erfc(v / math.sqrt(2.0)) for v in z])
+    np.testing.assert_allclose(normal.upper_tail(z), want, rtol=1e-12)
+    assert np.isnan(normal.upper_tail(np.array([np.nan])))
+    p = np.geomspace(1e-12, 0.5, 500)
+    np.testing.assert_allclose(normal.upper_tail(normal.upper_point(p)), p, rtol=1e-11)
