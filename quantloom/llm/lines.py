@@ -1,11 +1,12 @@
-"""Fuzzy line dedup by MinHash, in SQL functions throughout.
+"""Fuzzy line dedup by MinHash.
 
-Lines of at least ``LEAST`` characters are judged. Equal lines are one entry. An entry's shingles are the ``SHINGLE`` characters
-from the start of each of its words; its signature is one minimum for each of HASHES orders of their hashes, and each band
+Lines of at least ``LEAST`` characters are judged. Equal lines are one entry. An entry's shingles are its runs of ``SHINGLE``
+characters at every position, or the whole of a shorter line; its signature is one minimum for each of HASHES orders of their hashes, and each band
 is three of these. Entries of a bucket are candidates with the bucket's smallest entry, in an order of the bucket's own; a candidate
 pair links when the exact Jaccard similarity of the shingle sets is at least ``ALIKE``. Of each
 connected component, and of each set of equal lines, the first line stays, by doc_id, then text hash, then line number.
 
+Signatures and similarities are made in Arrow batches: SQL functions would work on each position of each text one by one.
 Only lines that are candidates are read again for the exact comparison, picked by a bit field of fixed size.
 
 A null text is an empty text: one line, too short to be judged. Null ids come last. Rows equal in id and text
@@ -15,18 +16,25 @@ as they are in ``without_duplicates`` and are never read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
+from quantloom.llm import batches as b
 from quantloom.llm.bits import only_in
 from quantloom.llm.graph import components
 from quantloom.llm.store import keep
 
 LEAST, SHINGLE, ALIKE, HASHES = 40, 16, 0.8, 12
-#: Looks ahead from every word's start, then passes the word.
-FROM_WORD = f"(?s)(?:^| )(?=(.{{0,{SHINGLE}}}))[^ ]*"
 #: Eight triples of the twelve orders; every order is in two, and no two triples share two orders.
 BANDS = tuple((i, 4 + (i + k) % 4, 8 + (2 * i + k) % 4) for i in range(4) for k in range(2))
+_ORDERS = b.mix(np.arange(1, HASHES + 1).astype(np.uint64)) | np.uint64(1)
+#: Bytes of lines that are signed at once, and pairs that are compared at once: as many as a byte can name.
+_BYTES, _PAIRS = 1 << 17, 256
 
 
 def _text() -> Column:
@@ -39,32 +47,51 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     return lines.where(F.char_length("line") >= LEAST).withColumn("id", F.xxhash64("line"))
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
+def shingles(lines: b.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of every line, and the borders between lines; an empty line has one empty shingle."""
+    lead = (lines.data & 0xC0) != 0x80
+    chars = np.append(np.flatnonzero(lead), len(lines.data))
+    seen = np.concatenate([[0], np.cumsum(lead)])
+    first, last = seen[lines.offs[:-1]], seen[lines.offs[1:]]
+    n = np.maximum(last - first - SHINGLE + 1, 1)
+    edges = np.concatenate([[0], np.cumsum(n)])
+    place = np.arange(edges[-1]) - np.repeat(edges[:-1] - first, n)
+    return lines.hashes(chars[place], chars[np.minimum(place + SHINGLE, np.repeat(last, n))]), edges
 
 
-def _each_shingle(line: str, use) -> Column:
-    """``use`` of the SHINGLE characters from the start of each word, fewer at the end of the line."""
-    return F.transform(F.regexp_extract_all(line, F.lit(FROM_WORD), F.lit(1)), use)
+def _signed(batches) -> Iterator[pa.RecordBatch]:
+    """The keys of all bands in place of the line."""
+    for part, lines in b.pieces(batches, "line", _BYTES):
+        h, edges = shingles(lines)
+        least = np.stack([np.minimum.reduceat(h * k, edges[:-1]) for k in _ORDERS])
+        keys = np.stack([b.mix(b.chain_rows(least[list(band)]) + np.uint64(i)) for i, band in enumerate(BANDS)], 1)
+        keys = b.lists(keys.ravel().view(np.int64), np.arange(lines.n + 1) * len(BANDS), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "doc_id", "b", "at")), keys], ["id", "doc_id", "b", "at", "keys"])
 
 
-def shingles(line: str) -> Column:
-    return F.array_distinct(_each_shingle(line, lambda s: s))
+def _sets(lines: b.Texts) -> np.ndarray:
+    """The different shingles of up to _PAIRS lines, sorted: the line's number in the upper byte, 56 bits of the hash below."""
+    h, edges = shingles(lines)
+    return np.unique(np.repeat(np.arange(lines.n, dtype=np.uint64) << np.uint64(56), np.diff(edges)) | h >> np.uint64(8))
 
 
-def band_keys(line: str) -> Column:
-    masks = F.array(*[F.xxhash64(F.lit(k)) for k in range(HASHES)])
-    hashes = _each_shingle(line, lambda x: F.xxhash64(x))
-    signature = _bound(hashes, lambda hs: F.transform(masks, lambda m: F.array_min(F.transform(hs, lambda h: h.bitwiseXOR(m)))))
-    return _bound(signature, lambda s: F.array(*[F.xxhash64(F.lit(i), *[F.get(s, F.lit(p)) for p in triple]) for i, triple in enumerate(BANDS)]))
+def _alike(batches) -> Iterator[pa.RecordBatch]:
+    """The pairs whose lines have a Jaccard similarity of at least ALIKE."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, _PAIRS):
+            part = batch.slice(i, _PAIRS)
+            x, y = (_sets(b.Texts.of(part.column(c))) for c in ("u_line", "v_line"))
+            each, common = (np.bincount((v >> np.uint64(56)).astype(np.int64), minlength=part.num_rows) for v in (np.concatenate([x, y]), np.intersect1d(x, y, assume_unique=True)))
+            near = pa.array(common >= ALIKE * (each - common))
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(near) for c in ("u", "v")], ["u", "v"])
 
 
 def line_kinds(docs: DataFrame) -> DataFrame:
     """id, n, first (place of the first such line) and keys (bands) of every different line."""
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "b", "at")
-    signed = judged_lines(docs).select("id", first.alias("first"), band_keys("line").alias("keys"))
-    return signed.groupBy("id").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.first("keys").alias("keys"))
+    lines = judged_lines(docs).select("id", "doc_id", "b", "at", "line")
+    signed = lines.mapInArrow(_signed, StructType(lines.drop("line").schema.fields).add("keys", ArrayType(LongType())))
+    return signed.groupBy("id").agg(F.count("*").alias("n"), F.min(first).alias("first"), F.first("keys").alias("keys"))
 
 
 def similar_lines(docs: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -77,9 +104,8 @@ def similar_lines(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("term"))
     found = only_in(judged_lines(docs).select("id", "line"), "id", wanted).groupBy("id").agg(F.min("line").alias("line"))
     left, right = (found.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line")) for c in "uv")
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", shingles("u_line").alias("x"), shingles("v_line").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= ALIKE * (F.size("x") + F.size("y") - common)).select("u", "v")
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "u_line", "v_line")
+    return both.mapInArrow(_alike, "u long, v long")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

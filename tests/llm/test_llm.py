@@ -147,6 +147,18 @@ def test_line_dedup_against_all_pairs(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 100
 
 
+def test_line_dedup_sees_whole_tokens(spark):
+    long = "https://www.example.org/"
+    different = [long + hashlib.sha256(bytes([i])).hexdigest() for i in range(4)] + ["".join(map(chr, range(0x4E00 + 100 * i, 0x4E50 + 100 * i))) for i in range(4)]
+    different += ["一二三四五六七八九十甲乙丙丁戊己庚辛" + x for x in different[4:]] + ["same long beginning\t" + "\t".join(str(i * k) for k in range(2, 30)) for i in (777, 12345)]
+    base = "".join(map(chr, range(0x5000, 0x50C8)))
+    alike = [base, base[:100] + "é" + base[101:], long + "/".join(map(str, range(60))), long + "/".join(map(str, range(60))) + "x"]
+    rows = list(enumerate(different + alike))
+    report = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = len(different)
+    assert {r["doc_id"] for r in report if r["n_removed"]} == {n + 1, n + 3}
+
+
 @pytest.mark.parametrize("size", [10, 3])
 def test_decontamination(spark, docs, size):
     words = {i: re.findall(ALNUM, (t or "").translate(LOW)) for i, t in texts()}
