@@ -2,8 +2,10 @@
 
 Lines of at least ``LEAST`` characters are judged. Equal lines are one entry. An entry's shingles are its runs of ``SHINGLE``
 characters at every position, or the whole of a shorter line; its signature is one minimum for each of HASHES orders of their hashes, and each band
-is three of these. Entries of a bucket are candidates with the bucket's smallest entry, in an order of the bucket's own; a candidate
-pair links when the exact Jaccard similarity of the shingle sets is at least ``ALIKE``. Of each
+is three of these, shared with no other band. A candidate pair links when the Jaccard similarity of the shingle sets is at least
+``ALIKE``. First, entries of a bucket are candidates with the bucket's smallest entry, in an order of the bucket's own. Then all
+other pairs of a bucket that are not yet in one component are: in buckets of up to DIRECT entries at once, in larger ones when
+they share a shingle of their prefixes, rarest shingles first, which no pair that links fails to do. Of each
 connected component, and of each set of equal lines, the first line stays, by doc_id, then text hash, then line number.
 
 Signatures and similarities are made in Arrow batches: SQL functions would work on each position of each text one by one.
@@ -29,9 +31,9 @@ from quantloom.llm.bits import only_in
 from quantloom.llm.graph import components
 from quantloom.llm.store import keep
 
-LEAST, SHINGLE, ALIKE, HASHES = 40, 16, 0.8, 12
-#: Eight triples of the twelve orders; every order is in two, and no two triples share two orders.
-BANDS = tuple((i, 4 + (i + k) % 4, 8 + (2 * i + k) % 4) for i in range(4) for k in range(2))
+LEAST, SHINGLE, ALIKE, HASHES, DIRECT = 40, 16, 0.8, 24, 64
+#: Each band is three orders of its own.
+BANDS = np.arange(HASHES).reshape(-1, 3)
 _ORDERS = b.mix(np.arange(1, HASHES + 1).astype(np.uint64)) | np.uint64(1)
 #: Bytes of lines that are signed at once, and pairs that are compared at once: as many as a byte can name.
 _BYTES, _PAIRS = 1 << 17, 256
@@ -64,7 +66,7 @@ def _signed(batches) -> Iterator[pa.RecordBatch]:
     for part, lines in b.pieces(batches, "line", _BYTES):
         h, edges = shingles(lines)
         least = np.stack([np.minimum.reduceat(h * k, edges[:-1]) for k in _ORDERS])
-        keys = np.stack([b.mix(b.chain_rows(least[list(band)]) + np.uint64(i)) for i, band in enumerate(BANDS)], 1)
+        keys = np.stack([b.mix(b.chain_rows(least[band]) + np.uint64(i)) for i, band in enumerate(BANDS)], 1)
         keys = b.lists(keys.ravel().view(np.int64), np.arange(lines.n + 1) * len(BANDS), pa.int64())
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "doc_id", "b", "at")), keys], ["id", "doc_id", "b", "at", "keys"])
 
@@ -86,6 +88,15 @@ def _alike(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(c).filter(near) for c in ("u", "v")], ["u", "v"])
 
 
+def _listed(batches) -> Iterator[pa.RecordBatch]:
+    """The different shingles of every line, in place of the line."""
+    for part, lines in b.pieces(batches, "line", _BYTES):
+        h, edges = shingles(lines)
+        each = [np.unique(h[i:j]).view(np.int64) for i, j in zip(edges, edges[1:])]
+        held = b.lists(np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]), pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("root"), held], ["id", "root", "held"])
+
+
 def line_kinds(docs: DataFrame) -> DataFrame:
     """id, n, first (place of the first such line) and keys (bands) of every different line."""
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "b", "at")
@@ -94,18 +105,57 @@ def line_kinds(docs: DataFrame) -> DataFrame:
     return signed.groupBy("id").agg(F.count("*").alias("n"), F.min(first).alias("first"), F.first("keys").alias("keys"))
 
 
+def _lines_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and line of every line whose id is in column ``term``, and of a few others."""
+    return only_in(judged_lines(docs).select("id", "line"), "id", ids).groupBy("id").agg(F.min("line").alias("line"))
+
+
+def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The candidates (u, v) that are alike."""
+    found = _lines_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("term")))
+    left, right = (found.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line")) for c in "uv")
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "u_line", "v_line")
+    return both.mapInArrow(_alike, "u long, v long")
+
+
+def _pairs(left: str, right: str) -> list[Column]:
+    return [F.least(left, right).alias("u"), F.greatest(left, right).alias("v")]
+
+
+def _by_prefix(docs: DataFrame, hot: DataFrame) -> DataFrame:
+    """Candidates (u, v) of different roots among the entries ``hot(id, root)``: every pair that is alike is one."""
+    lines = hot.join(_lines_of(docs, hot.select(F.col("id").alias("term"))), "id").select("id", "root", "line")
+    held = keep(lines.mapInArrow(_listed, "id long, root long, held array<long>"))
+    shown = held.select("id", "root", F.size("held").alias("n"), F.explode("held").alias("h"))
+    often = shown.groupBy("h").agg(F.count("*").alias("often"))
+    ordered = shown.join(often, "h").groupBy("id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("all"))
+    prefix = F.slice("all", F.lit(1), F.col("n") - F.ceil(ALIKE * F.col("n") - 1e-9).cast("int") + 1)
+    ends = ordered.select("id", "root", "n", F.posexplode(prefix).alias("at", "x")).where("x.often > 1").select("id", "root", "n", "at", "x.h")
+    other = ends.select(*[F.col(c).alias(f"{c}_") for c in ("id", "root", "n", "at", "h")])
+    most = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n_") - F.col("at_") - 1) + F.least("at", "at_")
+    fits = most * (1 + ALIKE) >= ALIKE * (F.col("n") + F.col("n_")) - 1e-9
+    met = ends.join(other, (F.col("h") == F.col("h_")) & (F.col("id") < F.col("id_")) & (F.col("root") != F.col("root_")) & fits)
+    return met.select(*_pairs("id", "id_"))
+
+
 def similar_lines(docs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Edges (u, v) between ids of different lines that are alike."""
+    """Edges (u, v) between ids of different lines that are alike, enough of them to connect all that are linked."""
     dealt = kinds.select("id", F.explode("keys").alias("key"))
     mask = F.xxhash64("key")
     ends = dealt.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("low"), F.count("*").alias("n")).where("n > 1")
-    pairs = dealt.join(ends, "key").select("id", F.col("low").bitwiseXOR(mask).alias("other")).where("id <> other")
-    pairs = keep(pairs.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct())
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("term"))
-    found = only_in(judged_lines(docs).select("id", "line"), "id", wanted).groupBy("id").agg(F.min("line").alias("line"))
-    left, right = (found.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line")) for c in "uv")
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "u_line", "v_line")
-    return both.mapInArrow(_alike, "u long, v long")
+    met = keep(dealt.join(ends, "key").select("key", "id", F.col("low").bitwiseXOR(mask).alias("low"), "n"))
+    edges = keep(_linked(docs, keep(met.where("id <> low").select(*_pairs("id", "low")).distinct())))
+    roots = components(edges)
+    rooted = met.where("n > 2").join(roots, met["id"] == roots["node"], "left").select("key", "id", "low", "n", F.coalesce("root", "id").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("key")
+    still = keep(rooted.join(several, "key"))
+    few, other = still.where(F.col("n") <= DIRECT).where("id <> low"), ("id", "root")
+    twice = few.join(few.select("key", *[F.col(c).alias(f"{c}_") for c in other]), "key").where("id < id_ and root <> root_")
+    hot = keep(still.where(F.col("n") > DIRECT).select("id", "root").distinct())
+    more = twice.select(*_pairs("id", "id_"))
+    if not hot.isEmpty():
+        more = more.union(_by_prefix(docs, hot))
+    return edges.union(_linked(docs, keep(more.distinct())))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

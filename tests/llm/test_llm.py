@@ -159,6 +159,31 @@ def test_line_dedup_sees_whole_tokens(spark):
     assert {r["doc_id"] for r in report if r["n_removed"]} == {n + 1, n + 3}
 
 
+@pytest.mark.parametrize("direct", [64, 2])
+def test_line_dedup_meets_every_pair(spark, monkeypatch, direct):
+    monkeypatch.setattr(lines, "DIRECT", direct, raising=False)
+    rng = np.random.default_rng(5)
+    spell = lambda n: "".join(rng.choice(list("abcdeé😀 "), n))
+    rows, template = [], spell(150)
+    for _ in range(150):  # one template in every line, two near copies of each
+        own = template + spell(110)
+        rows += [own, own[:-1] + "z"]
+    for _ in range(40):  # and families near the limit
+        own = spell(200)
+        rows += ["".join(own[:i] + "z" + own[i + 1 :]) for i in rng.integers(0, 200, 6)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    cut = [{t[i : i + lines.SHINGLE] for i in range(max(1, len(t) - lines.SHINGLE + 1))} for t in rows]
+    root = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if len(cut[x] & cut[y]) >= lines.ALIKE * len(cut[x] | cut[y]):
+                low, high = sorted((root[x], root[y]))
+                root = [low if r == high else r for r in root]
+    want = {i for i, r in enumerate(root) if r != i}
+    report = lines.line_report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in report if r["n_removed"]} == want and len(want) > 200
+
+
 @pytest.mark.parametrize("size", [10, 3])
 def test_decontamination(spark, docs, size):
     words = {i: re.findall(ALNUM, (t or "").translate(LOW)) for i, t in texts()}
