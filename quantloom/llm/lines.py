@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash.
 
-Lines of at least ``LEAST`` characters are judged. Equal lines are one entry. An entry's shingles are its runs of ``SHINGLE``
+Lines with anything but white space are judged, however short. Equal lines are one entry. An entry's shingles are its runs of ``SHINGLE``
 characters at every position, or the whole of a shorter line; its signature is one minimum for each of HASHES orders of their hashes, and each band
 is three of these, shared with no other band. A candidate pair links when the Jaccard similarity of the shingle sets is at least
 ``ALIKE``. First, entries of a bucket are candidates with the bucket's smallest entry, in an order of the bucket's own. Then all
@@ -11,7 +11,7 @@ connected component, and of each set of equal lines, the first line stays, by do
 Signatures and similarities are made in Arrow batches: SQL functions would work on each position of each text one by one.
 Only lines that are candidates are read again for the exact comparison, picked by a bit field of fixed size.
 
-A null text is an empty text: one line, too short to be judged. Null ids come last. Rows equal in id and text
+A null text is an empty text: one blank line, which is not judged. Null ids come last. Rows equal in id and text
 lose and keep the same lines. Lines are named by a 64-bit hash. An empty table gives an empty result; other columns stay
 as they are in ``without_duplicates`` and are never read.
 """
@@ -31,7 +31,7 @@ from quantloom.llm.bits import only_in
 from quantloom.llm.graph import components
 from quantloom.llm.store import keep
 
-LEAST, SHINGLE, ALIKE, HASHES, DIRECT = 40, 16, 0.8, 24, 64
+SHINGLE, ALIKE, HASHES, DIRECT = 16, 0.8, 24, 64
 #: Each band is three orders of its own.
 BANDS = np.arange(HASHES).reshape(-1, 3)
 _ORDERS = b.mix(np.arange(1, HASHES + 1).astype(np.uint64)) | np.uint64(1)
@@ -44,9 +44,9 @@ def _text() -> Column:
 
 
 def judged_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, b (hash of the text), at (line number from 0), line and id of every line that is long enough."""
+    """doc_id, b (hash of the text), at (line number from 0), line and id of every line that is not blank."""
     lines = docs.select("doc_id", F.xxhash64(_text()).alias("b"), F.posexplode(F.split(_text(), "\n")).alias("at", "line"))
-    return lines.where(F.char_length("line") >= LEAST).withColumn("id", F.xxhash64("line"))
+    return lines.where(F.col("line").rlike(r"\S")).withColumn("id", F.xxhash64("line"))
 
 
 def shingles(lines: b.Texts) -> tuple[np.ndarray, np.ndarray]:

@@ -184,6 +184,12 @@ def test_line_dedup_meets_every_pair(spark, monkeypatch, direct):
     assert {r["doc_id"] for r in report if r["n_removed"]} == want and len(want) > 200
 
 
+def test_line_dedup_judges_short_lines(spark):
+    rows = [(0, "}\nReleased under the MIT License.\n\n \t\n}"), (1, "Released under the MIT License.\n\n \t\n一"), (2, "Released under the MIT License!\n一\n1"), (3, None), (4, ""), (5, "2")]
+    report = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["removed"] for r in report} == {0: [4], 1: [0], 2: [0, 1], 3: [], 4: [], 5: []}
+
+
 @pytest.mark.parametrize("size", [10, 3])
 def test_decontamination(spark, docs, size):
     words = {i: re.findall(ALNUM, (t or "").translate(LOW)) for i, t in texts()}
