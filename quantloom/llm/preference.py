@@ -4,8 +4,8 @@ The prompt is the longest run of leading turns, equal in role and text, that bot
 are rendered as completions. A mask is a list of (start, end) character ranges of the completion that a model learns from:
 the texts of assistant turns with their closing marker.
 
-Turns are ordered by turn, then role, then text; null texts and roles are empty strings; null turns come first. Turns
-with a null conv_id form one conversation. Repeated turns stay. An empty table gives an empty result; conversations that
+Turns are ordered by turn, then role, then text; null texts and roles are empty strings; null turns come first. Each turn
+with a null conv_id is a conversation of its own. Repeated turns stay. An empty table gives an empty result; conversations that
 are wholly equal get two empty completions; other columns are never read.
 """
 
@@ -21,7 +21,9 @@ def conversations(turns: DataFrame) -> DataFrame:
     """conv_id and its ordered turns, an array of (role, text)."""
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = F.sort_array(F.collect_list(one))
-    return turns.groupBy("conv_id").agg(F.transform(ordered, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    said = lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))
+    whole = turns.where("conv_id is not null").groupBy("conv_id").agg(F.transform(ordered, said).alias("turns"))
+    return whole.union(turns.where("conv_id is null").select("conv_id", F.array(said(one)).alias("turns")))
 
 
 def _shown(turn: Column) -> Column:

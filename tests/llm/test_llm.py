@@ -303,6 +303,15 @@ def test_preference(spark):
     assert got[3]["chosen"] == got[3]["rejected"] == "" and got[3]["n_shared"] == 1
 
 
+def test_turns_without_conversation_stand_alone(spark):
+    turns = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (None, None, None, None), (7, 1, "assistant", "d"), (7, 0, "user", "c")]
+    talks = preference.conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = sorted(((r["conv_id"], [tuple(x) for x in r["turns"]]) for r in talks.collect()), key=str)
+    assert got == sorted([(None, [("user", "a")]), (None, [("assistant", "b")]), (None, [("assistant", "b")]), (None, [("", "")]), (7, [("user", "c"), ("assistant", "d")])], key=str)
+    pairs = preference.formatted(preference.swapped_replies(talks)).where("pair_id is null").collect()
+    assert sorted(r["chosen"] for r in pairs) == ["", "", "<|start|>assistant\nb<|end|>\n", "<|start|>assistant\nb<|end|>\n"]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     items, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")
