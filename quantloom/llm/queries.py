@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import decontaminate, factorisation, licenses, lines, mixing, preference, quality, repeats, simhash, warc
+from quantloom.llm import decontaminate, factorisation, licenses, lines, minhash, mixing, preference, quality, ranked, repeats, simhash, spelling, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,64 @@ def _op9(table):
 def _op10(table):
     found = simhash.near_duplicates(table("documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_OP11 = rf"""
+WITH t AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+a AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, a GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, CAST(sum(times * (w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n.n * docs) // terms))))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN w USING (term) JOIN n USING (doc_id), a GROUP BY item_id, doc_id)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s WHERE score > 0) WHERE place <= 20
+"""
+
+
+@_query("op11_ranked_search", _OP11)
+def _op11(table):
+    return ranked.search(table("documents"), table("benchmark"))
+
+
+# crc32 byte by byte over "<doc_id>:<word>": a table of 256 remainders, made bit by bit; U+00C0 to U+00FF are the bytes 195, code - 64
+_CRC_TABLE = "list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1))))"
+_CRC_BYTES = "flatten(list_transform(string_split(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run), ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c) - 64] END))"
+_OP12 = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+t AS MATERIALIZED (SELECT {_CRC_TABLE} AS tbl),
+h AS (SELECT run, times, xor(list_reduce(list_concat([4294967295], {_CRC_BYTES}), lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM r, t WHERE length(run) >= 5),
+c AS (SELECT CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, times FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+x AS MATERIALIZED (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT x.word, w.word AS other, w.n AS other_n FROM x JOIN w ON x.rest = w.word UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.rest = w.word
+      UNION SELECT x.word, y.word, y.n FROM x JOIN x AS y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word),
+o AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM w LEFT JOIN (SELECT * FROM o WHERE place = 1) USING (word)),
+g AS (SELECT word, word AS at FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, g.at AS root, f.n, f.n_near, f.form_n FROM f JOIN g ON g.word = f.word JOIN f AS e ON e.word = g.at WHERE e.form IS NULL
+"""
+
+
+@_query("op12_spelling_variants", _OP12)
+def _op12(table):
+    found = spelling.variants(spelling.vocabulary(table("documents")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+_OP13 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' ')))) AS shingle FROM d WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS k FROM s AS x JOIN s AS y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT u, v FROM p JOIN n AS a ON a.doc_id = u JOIN n AS c ON c.doc_id = v WHERE 100 * k >= 85 * (a.n + c.n - k)),
+g AS (SELECT doc_id, doc_id AS to_id FROM d UNION SELECT g.doc_id, e.v FROM g JOIN e ON e.u = g.to_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(to_id) AS component_id FROM g GROUP BY doc_id) AS c USING (doc_id)
+"""
+
+
+@_query("op13_minhash_near_dedup", _OP13)
+def _op13(table):
+    return minhash.near_duplicates(table("documents"))
