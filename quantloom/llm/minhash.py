@@ -2,15 +2,16 @@
 
 A document's set holds its different shingles of ``SHINGLE`` words; equal sets are one entry. Its signature has one minimum for
 each of COORDINATES orders of the shingles' hashes, and the entry is posted under every pair of coordinate and value. Two entries whose sets are at
-least ALIKE per cent alike agree on MATCHES coordinates but for a chance below 1e-7, calculated. So a list of only one entry is dropped, each entry's
+least ALIKE per cent alike agree on MATCHES coordinates but for a chance of 3e-6, calculated. So a list of only one entry is dropped, each entry's
 lists are put in order of length, and only its PREFIX shortest are merged: who agrees on MATCHES coordinates meets in one of them. The
 long lists are skipped; what they would have counted is counted by comparing the signatures of each pair that met. Pairs with
 MATCHES collisions are confirmed on their full sets.
 
 A list is not merged into all its pairs. First every entry meets the list's leader (smallest in an order of the list's own).
-What this links is one component each. In lists that still hold several components, two entries of different ones meet
-if their distances to the leader, in coordinates, differ by no more than two alike entries' can (triangle inequality). So a
-large group of near copies costs one pair an entry and no link between components is lost.
+What this links is one component each. In lists that still hold several components, the entries outside the list's largest one meet
+the entries of other components. There a parity bitmap of BITS bits stands for each set: where two bitmaps differ, the sets do, so pairs whose
+bitmaps differ in more places than two alike sets can are not even listed. A large group of near copies thus costs one pair an
+entry, and no link between components is lost; what grows with a product is the comparison of bitmaps, outsiders by entries of a list.
 
 Null and empty texts, and those of white space, have no shingles and link with nothing, not even each other. Null ids count
 as larger than any id: a component of null ids alone has a null component_id, and ``kept`` compares nulls as equal. Repeated
@@ -33,7 +34,7 @@ from quantloom.llm.graph import components
 from quantloom.llm.store import keep
 
 SHINGLE, ALIKE = 5, 85
-COORDINATES, MATCHES = 64, 38
+COORDINATES, MATCHES, BITS = 64, 40, 1024
 PREFIX = COORDINATES - MATCHES + 1
 _ORDERS = b.mix(np.arange(1, COORDINATES + 1).astype(np.uint64)) | np.uint64(1)
 
@@ -55,8 +56,16 @@ def signatures(held: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([(b.mix(np.minimum.reduceat(held * k, full)) >> np.uint64(32)).astype(np.uint32) for k in _ORDERS], 1)
 
 
+def parities(held: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A bitmap of BITS bits for each set, as longs: whether an odd number of its hashes falls on the bit."""
+    out = np.zeros((len(edges) - 1, BITS // 8), np.uint8)
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        out[i] = np.packbits(np.bincount((held[lo:hi] % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1)
+    return out.view(np.int64)
+
+
 def _signed(batches) -> Iterator[pa.RecordBatch]:
-    """n_shingles, the set's name and its signature (null if the set is empty) in place of the text."""
+    """n_shingles, the set's name, its signature (null if the set is empty) and bitmap in place of the text."""
     for part, texts in b.pieces(batches, "text"):
         held, edges = shingle_sets(texts)
         n, signs = np.diff(edges), signatures(held, edges)
@@ -64,14 +73,15 @@ def _signed(batches) -> Iterator[pa.RecordBatch]:
         name = b.mix(b.mix(total[edges[1:]] - total[edges[:-1]]) + n.astype(np.uint64))
         ends = np.concatenate([[0], np.cumsum(n > 0)]) * COORDINATES
         listed = b.lists(signs.ravel().view(np.int32), ends, pa.int32())
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "a", "b")), pa.array(n), pa.array(name.view(np.int64)), listed], ["doc_id", "a", "b", "n_shingles", "id", "signature"])
+        bits = b.lists(parities(held, edges).ravel(), np.arange(texts.n + 1) * (BITS // 64), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "a", "b")), pa.array(n), pa.array(name.view(np.int64)), listed, bits], ["doc_id", "a", "b", "n_shingles", "id", "signature", "bits"])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, a and b (hashes of id and text), n_shingles, id (the set's name) and signature of every row."""
+    """doc_id, a and b (hashes of id and text), n_shingles, id (the set's name), signature and bits of every row."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("doc_id").alias("a"), F.xxhash64(text).alias("b"), text.alias("text"))
-    return rows.mapInArrow(_signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, a long, b long, n_shingles long, id long, signature array<int>")
+    return rows.mapInArrow(_signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, a long, b long, n_shingles long, id long, signature array<int>, bits array<long>")
 
 
 def merged_lists(entries: DataFrame) -> DataFrame:
@@ -136,25 +146,28 @@ def links(docs: DataFrame, entries: DataFrame) -> DataFrame:
     lead = keep(lists.groupBy("key").agg(F.min(order).alias("low"), F.count("*").alias("n")).where("n > 1"))
     met = keep(lists.join(lead, "key").select("key", "id", F.col("low").bitwiseXOR(F.xxhash64("key")).alias("low")))
     led = met.where("id <> low").select(F.least("id", "low").alias("u"), F.greatest("id", "low").alias("v")).distinct()
-    counted = keep(collisions(entries, led))
-    edges = keep(confirmed(docs, entries, counted.where(F.col("n") >= MATCHES).select("u", "v")))
+    edges = keep(confirmed(docs, entries, keep(collisions(entries, led).where(F.col("n") >= MATCHES).select("u", "v"))))
     roots = keep(components(edges))
-    rooted = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "low", F.coalesce("root", "id").alias("root"))
-    several = keep(rooted.groupBy("key").agg(F.min("root").alias("s"), F.max("root").alias("t")).where("s <> t").select("key"))
-    far = rooted.join(several, "key").where("id <> low").withColumns({"u": F.least("id", "low"), "v": F.greatest("id", "low")}).join(counted, ["u", "v"])
-    still = keep(far.select("key", "id", "root", "n"))
-    other = still.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "n")])
-    close = (F.col("id") < F.col("id_")) & (F.col("root") != F.col("root_")) & (F.abs(F.col("n") - F.col("n_")) <= COORDINATES - MATCHES)
-    more = still.alias("s").join(other.alias("t"), (F.col("s.key") == F.col("t.key")) & close).select(F.col("id").alias("u"), F.col("id_").alias("v")).distinct()
-    again = keep(collisions(entries, keep(more)).where(F.col("n") >= MATCHES).select("u", "v"))
-    return edges.union(confirmed(docs, entries, again))
+    rooted = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    tally = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    home = keep(tally.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("home"), F.count("*").alias("roots")).where("roots > 1"))
+    held = entries.select("id", F.col("n_shingles").alias("size"), "bits")
+    still = keep(rooted.join(home.select("key", "home"), "key").join(held, "id"))
+    other = still.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "size", "bits")])
+    total = F.col("size") + F.col("size_")
+    most = total - 2 * F.floor((ALIKE * total + 99 + ALIKE) / F.lit(100 + ALIKE))
+    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get("bits", F.lit(0)).bitwiseXOR(F.get("bits_", F.lit(0)))))
+    once = (F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("home")) | (F.col("id") < F.col("id_")))
+    outside = still.where("root <> home").alias("s").join(other.alias("t"), (F.col("s.key") == F.col("t.key")) & once & (differ <= most))
+    more = keep(outside.select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v")).distinct())
+    return edges.union(confirmed(docs, entries, keep(collisions(entries, more).where(F.col("n") >= MATCHES).select("u", "v"))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (whether that is its own) of every row."""
     rows = keep(signed(docs.select("doc_id", "text")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("least")
-    entries = keep(rows.where("n_shingles > 0").groupBy("id").agg(least, F.first("signature").alias("signature"), F.min(F.struct("a", "b")).alias("place")))
+    entries = keep(rows.where("n_shingles > 0").groupBy("id").agg(least, F.first("signature").alias("signature"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct("a", "b")).alias("place")))
     roots = keep(components(links(docs, entries)))
     classes = keep(entries.join(roots, entries["id"] == roots["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root")))
     lowest = keep(classes.groupBy("root").agg(F.min("least").alias("lowest")))
