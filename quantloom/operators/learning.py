@@ -1,16 +1,11 @@
-"""Purged walk-forward learning on Spark ML. Folds run one after another; each fit is a distributed job."""
+"""Folds, purged splits and leakage checks of walk-forward learning; ``operators.moments`` fits and scores."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.operators.cleaning import session_table
-from quantloom.operators.evaluation import daily_rank_ic
 
 C = F.col
 
@@ -51,104 +46,6 @@ def inner_split(panel: DataFrame, share: float = 0.85, purge: int = 6) -> DataFr
     return panel.join(F.broadcast(sessions), "date").withColumn("part", part).drop("ord")
 
 
-def default_models(seed: int = 42) -> dict:
-    return {
-        "linear": LinearRegression(labelCol="label", featuresCol="x", regParam=0.01, solver="normal"),
-        "forest": RandomForestRegressor(labelCol="label", featuresCol="x", numTrees=5, maxDepth=3, seed=seed),
-    }
-
-
-class Ensemble:
-    """Fitted models per factor group with their inner-validation ICs."""
-
-    def __init__(self, groups, models, ics):
-        self.groups, self.models, self.ics = groups, models, ics
-
-    def weights(self, group: str) -> dict[str, float]:
-        """Model weights by positive IC, equal when none is positive."""
-        pos = {m: max(ic, 0.0) for m, ic in self.ics[group].items()}
-        total = sum(pos.values())
-        return {m: (v / total if total else 1.0 / len(pos)) for m, v in pos.items()}
-
-    def blend(self) -> dict[str, float]:
-        """Group weights by the root of the weighted positive IC, normalised; equal when none is positive."""
-        raw = {g: sum(max(ic, 0.0) * self.weights(g)[m] for m, ic in self.ics[g].items()) ** 0.5 for g in self.groups}
-        total = sum(raw.values())
-        return {g: (v / total if total else 1.0 / len(raw)) for g, v in raw.items()}
-
-
-def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    filled = df.fillna(0.0, subset=features)
-    return VectorAssembler(inputCols=features, outputCol="x").transform(filled)
-
-
-def train(panel: DataFrame, groups: dict[str, list[str]], label: str, min_names: int, max_rows=None, purge: int = 6) -> Ensemble:
-    """Fit every model per group on the inner train part and score it on the inner validation part."""
-    rows = inner_split(panel.where(C(label).isNotNull()), purge=purge).withColumnRenamed(label, "label")
-    fit_rows = rows.where(C("part") == "inner_train").persist()
-    val_rows = rows.where(C("part") == "inner_val").persist()
-    models, ics = {}, {}
-    for g, features in groups.items():
-        models[g], ics[g] = {}, {}
-        for name, est in default_models().items():
-            fitted = est.fit(_assembled(fit_rows, features))
-            scored = fitted.transform(_assembled(val_rows, features))
-            ic = daily_rank_ic(scored, "prediction", "label", min_names, max_rows).agg(F.avg("ic")).first()[0]
-            models[g][name], ics[g][name] = fitted, float(ic or 0.0)
-    fit_rows.unpersist()
-    val_rows.unpersist()
-    return Ensemble(groups, models, ics)
-
-
-def refit(ensemble: Ensemble, panel: DataFrame, label: str) -> Ensemble:
-    """The same models on every labelled row, weights kept."""
-    rows = panel.where(C(label).isNotNull()).withColumnRenamed(label, "label").persist()
-    models = {
-        g: {n: est.fit(_assembled(rows, f)) for n, est in default_models().items()} for g, f in ensemble.groups.items()
-    }
-    rows.unpersist()
-    return Ensemble(ensemble.groups, models, ensemble.ics)
-
-
-def predict(ensemble: Ensemble, panel: DataFrame) -> DataFrame:
-    """Per group the weighted model mean, z-scored by date (a flat or missing score is 0), blended into ``pred``."""
-    df, blend = panel, ensemble.blend()
-    for g, features in ensemble.groups.items():
-        weights = ensemble.weights(g)
-        total = F.lit(0.0)
-        made = df
-        for name, model in ensemble.models[g].items():
-            made = model.setPredictionCol(f"_p_{name}").transform(_assembled(made, features)).drop("x")
-            total = total + C(f"_p_{name}") * weights[name]
-        df = df.join(
-            made.select("symbol", "date", total.alias(f"factor_{g}")), ["symbol", "date"]
-        )
-        stats = df.groupBy("date").agg(F.avg(f"factor_{g}").alias("_m"), F.stddev_samp(f"factor_{g}").alias("_s"))
-        z = F.coalesce(F.try_divide(C(f"factor_{g}") - C("_m"), C("_s")), F.lit(0.0))
-        df = df.join(F.broadcast(stats), "date").withColumn(f"factor_{g}", z).drop("_m", "_s")  # one row per session
-    return df.withColumn("pred", sum((C(f"factor_{g}") * w for g, w in blend.items()), F.lit(0.0)))
-
-
-def walk_forward(panel, groups, label, folds, min_names, max_rows=None) -> DataFrame:
-    """Out-of-sample predictions of all folds, unioned. ``folds`` is the small table of ``fold_table``."""
-    made = []
-    for f in folds.orderBy("fold").collect():  # one row per fold
-        past = panel.where(C("date").between(f.train_start, f.train_end))
-        ahead = panel.where(C("date").between(f.test_start, f.test_end))
-        scored = predict(train(past, groups, label, min_names, max_rows), ahead)
-        made.append(scored.select("symbol", "date", label, "pred", F.lit(f.fold).alias("fold")))
-    return reduce(lambda a, b: a.unionByName(b), made)
-
-
-def vote(spark, importances: dict[str, list[float]], features: list[str], keep: int) -> DataFrame:
-    """Features ranked in every model; the ranks vote, the first ``keep`` stay."""
-    rows = [(m, f, float(v)) for m, vals in importances.items() for f, v in zip(features, vals)]
-    table = spark.createDataFrame(rows, "model string, feature string, importance double")
-    ranked = table.withColumn("rank", F.rank().over(Window.partitionBy("model").orderBy(C("importance").desc())))
-    votes = ranked.groupBy("feature").agg(F.sum("rank").alias("votes"))
-    return votes.orderBy("votes", "feature").limit(keep)
-
-
 def future_perturbation(panel: DataFrame, feature, cutoff, factor: float = 3.0) -> DataFrame:
     """Largest change of a feature before ``cutoff`` when every later row is altered: zero for a causal one."""
     late = C("date") >= cutoff

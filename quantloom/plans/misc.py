@@ -13,6 +13,7 @@ from quantloom.operators import evaluation as ev
 from quantloom.operators import indicators as ind
 from quantloom.operators import joins as jn
 from quantloom.operators import learning as ml
+from quantloom.operators import moments as fm
 from quantloom.operators import portfolio as pf
 from quantloom.operators import sequences as sq
 from quantloom.operators.cleaning import session_table
@@ -550,56 +551,192 @@ def purged_inner_split(t):
     return ml.inner_split(t.long_bars().select("symbol", "date"))
 
 
-def learn_rows(t):
+def learn_rows(t, features=None):
+    """The scored long panel, standardised; written once, since fits and scores read it again."""
     from quantloom.session import cut
 
-    return cut(scored(t, "long").drop("close"))
+    df = scored(t, "long").drop("close")
+    return cut(fm.standardised(df, features or fm.names(groups_of(df))))
 
 
 def groups_of(df):
     return ml.factor_groups(df.columns, GROUPS)
 
 
-@query("train_factor_ensembles")
+FITTED = {"price": ["f1", "f4"], "activity": ["f2", "f3"]}
+
+
+def ridge_sql(g, fs, moments):
+    """CTEs that end in r_<g>: fold, b_<g> and b_<g>_<feature>, by elimination of the ridge equations, one CTE a step."""
+    k, pair = len(fs), lambda a, b: f"zz_{min(a, b)}_{max(a, b)}"
+    start = [f"{pair(fs[i], fs[j])} / n - z_{fs[i]} / n * (z_{fs[j]} / n) + {fm.RIDGE if i == j else 0.0} AS a{i}_{j}" for i in range(k) for j in range(k)]
+    start += [f"zy_{fs[i]} / n - z_{fs[i]} / n * (y / n) AS a{i}_{k}" for i in range(k)]
+    steps = [f"SELECT *, {', '.join(start)} FROM {moments}"]
+    for p in range(k - 1):
+        steps.append("SELECT * REPLACE (" + ", ".join(f"a{i}_{j} - a{i}_{p} / a{p}_{p} * a{p}_{j} AS a{i}_{j}" for i in range(p + 1, k) for j in range(p, k + 1)) + ") FROM {last}")
+    for i in reversed(range(k)):
+        known = "".join(f" - a{i}_{j} * b_{g}_{fs[j]}" for j in range(i + 1, k))
+        steps.append(f"SELECT *, (a{i}_{k}{known}) / a{i}_{i} AS b_{g}_{fs[i]} FROM {{last}}")
+    end = f"SELECT fold, y / n{''.join(f' - b_{g}_{f} * (z_{f} / n)' for f in fs)} AS b_{g}, {', '.join(f'b_{g}_{f}' for f in fs)} FROM {{last}}"
+    named = [f"e{n}_{g} AS ({text.replace('{last}', f'e{n - 1}_{g}')})" for n, text in enumerate(steps)]
+    return ", ".join([*named, f"r_{g} AS ({end.replace('{last}', f'e{len(steps) - 1}_{g}')})"])
+
+
+def bin_sql(z):
+    return f"least(greatest(floor(({z} + {fm.REACH}) * {fm.BINS / (2 * fm.REACH)}), 0), {fm.BINS - 1})"
+
+
+def standard_sql(features):
+    z = ", ".join(f"""coalesce({snap_sql(f"((CAST({f} AS DOUBLE) - avg({f}) OVER d) / nullif(stddev_samp({f}) OVER d, 0))")}, 0) AS z_{f}""" for f in features)
+    return f"{LX}, st AS (SELECT *, dense_rank() OVER (ORDER BY date) AS ord, {z} FROM fx WINDOW d AS (PARTITION BY date))"
+
+
+def moments_sql(groups, win):
+    """CTEs mo and gains over the fit windows of ``win``."""
+    features = fm.names(groups)
+    pairs = sorted({tuple(sorted((a, b))) for fs in groups.values() for a in fs for b in fs})
+    sums = ", ".join([f"sum(z_{f}) AS z_{f}, sum(z_{f} * label) AS zy_{f}" for f in features] + [f"sum(z_{a} * z_{b}) AS zz_{a}_{b}" for a, b in pairs])
+    cells = " UNION ALL ".join(f"SELECT ord, label, '{f}' AS feature, {bin_sql(f'z_{f}')} AS bin FROM st WHERE label IS NOT NULL" for f in features)
+    return f"""mo AS (SELECT fold, count(*) AS n, sum(label) AS y, {sums} FROM st JOIN {win} ON ord BETWEEN fit_lo AND fit_hi WHERE label IS NOT NULL GROUP BY fold),
+    bi AS (SELECT fold, feature, bin, count(*) AS n, sum(label) AS y FROM ({cells}) JOIN {win} ON ord BETWEEN fit_lo AND fit_hi GROUP BY ALL),
+    cu AS (SELECT fold, feature, bin, sum(n) OVER e AS nl, sum(y) OVER e AS yl, sum(n) OVER p AS n, sum(y) OVER p AS y FROM bi WINDOW p AS (PARTITION BY fold, feature), e AS (PARTITION BY fold, feature ORDER BY bin)),
+    gains AS (SELECT fold, feature, bin, {snap_sql("(yl * yl / nl + (y - yl) * (y - yl) / (n - nl) - y * y / n)")} AS gain, yl / nl AS low, (y - yl) / (n - nl) AS high FROM cu WHERE n > nl)"""
+
+
+def fits_sql(groups, win, name):
+    """CTEs that end in ``name``: a row of coefficients and cuts for each fold."""
+    cuts = ", ".join(f"c_{g} AS (SELECT fold, feature AS cf_{g}, bin AS cb_{g}, low AS cl_{g}, high AS ch_{g} FROM gains WHERE feature IN ({', '.join(repr(f) for f in fs)}) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY gain DESC, feature, bin) = 1)" for g, fs in groups.items())
+    ridges = ", ".join(ridge_sql(g, fs, "mo") for g, fs in groups.items())
+    return f"{moments_sql(groups, win)}, {ridges}, {cuts}, {name} AS (SELECT * FROM {' JOIN '.join(f'r_{g} USING (fold)' if n else f'r_{g}' for n, g in enumerate(groups))} {' '.join(f'LEFT JOIN c_{g} USING (fold)' for g in groups)})"
+
+
+def predicted_sql(groups, win, fitted, part):
+    made = []
+    for g, fs in groups.items():
+        line = f"(b_{g}{''.join(f' + b_{g}_{f} * z_{f}' for f in fs)})"
+        at = "CASE " + " ".join(f"WHEN cf_{g} = '{f}' THEN {bin_sql(f'z_{f}')}" for f in fs) + " END"
+        side = f"(CASE WHEN cf_{g} IS NULL THEN b_{g} WHEN {at} <= cb_{g} THEN cl_{g} ELSE ch_{g} END)"
+        made += [f"{snap_sql(line)} AS p_{g}_linear", f"{snap_sql(side)} AS p_{g}_split"]
+    return f"(SELECT fold, symbol, date, label, {', '.join(made)} FROM st JOIN {win} ON ord BETWEEN {part}_lo AND {part}_hi JOIN {fitted} USING (fold))"
+
+
+def mixed_sql(groups, frm):
+    mixes = ", ".join(f"""{snap_sql("(" + " + ".join(f"p_{g}_{m} * w_{g}_{m}" for m in fm.MODELS) + ")")} AS g_{g}""" for g in groups)
+    return f"(SELECT fold, symbol, date, label, {mixes} FROM {frm} JOIN wide USING (fold))"
+
+
+def ensembles_sql(groups, win):
+    """CTEs fitted, weights (with ic), wide and blends, given st and ``win``."""
+    each = [(g, m) for g in groups for m in fm.MODELS]
+    long = "(" + " UNION ALL ".join(f"SELECT fold, date, label, '{g}' AS factor_group, '{m}' AS model, p_{g}_{m} AS p FROM checked" for g, m in each) + ")"
+    mixes = "(" + " UNION ALL ".join(f"SELECT fold, date, label, '{g}' AS factor_group, g_{g} AS p FROM vm" for g in groups) + ")"
+    listed = ", ".join(f"('{g}', '{m}')" for g, m in each)
+    names = ", ".join(f"('{g}')" for g in groups)
+    return f"""{fits_sql(groups, win, "fitted")}, checked AS {predicted_sql(groups, win, "fitted", "val")},
+    mi AS (SELECT fold, factor_group, model, avg(ic) AS ic FROM {ic_sql(long, "p", "label", 10, "fold, factor_group, model")} GROUP BY ALL),
+    we AS (SELECT fold, factor_group, model, ic, coalesce(greatest(ic, 0), 0) AS good FROM (SELECT fold, factor_group, model FROM {win}, (VALUES {listed}) AS v(factor_group, model)) LEFT JOIN mi USING (fold, factor_group, model)),
+    weights AS (SELECT fold, factor_group, model, ic, CASE WHEN sum(good) OVER (PARTITION BY fold, factor_group) > 0 THEN good / sum(good) OVER (PARTITION BY fold, factor_group) ELSE {1 / len(fm.MODELS)} END AS weight FROM we),
+    wide AS (SELECT fold, {", ".join(f"max(weight) FILTER (factor_group = '{g}' AND model = '{m}') AS w_{g}_{m}" for g, m in each)} FROM weights GROUP BY fold),
+    vm AS {mixed_sql(groups, "checked")},
+    gi AS (SELECT fold, factor_group, avg(ic) AS factor_ic FROM {ic_sql(mixes, "p", "label", 10, "fold, factor_group")} GROUP BY ALL),
+    ge AS (SELECT fold, factor_group, factor_ic, sqrt(coalesce(greatest(factor_ic, 0), 0)) AS raw FROM (SELECT fold, factor_group FROM {win}, (VALUES {names}) AS v(factor_group)) LEFT JOIN gi USING (fold, factor_group)),
+    blends AS (SELECT fold, factor_group, factor_ic, CASE WHEN sum(raw) OVER (PARTITION BY fold) > 0 THEN raw / sum(raw) OVER (PARTITION BY fold) ELSE {1 / len(groups)} END AS blend FROM ge)"""
+
+
+def blended_sql(groups, frm):
+    factors = ", ".join(f"""coalesce({snap_sql(f"((g_{g} - avg(g_{g}) OVER d) / nullif(stddev_samp(g_{g}) OVER d, 0))")}, 0) AS factor_{g}""" for g in groups)
+    wide = ", ".join(f"max(blend) FILTER (factor_group = '{g}') AS v_{g}" for g in groups)
+    pred = snap_sql("(" + " + ".join(f"factor_{g} * v_{g}" for g in groups) + ")")
+    return f"(SELECT *, {pred} AS pred FROM (SELECT *, {factors} FROM {mixed_sql(groups, frm)} WINDOW d AS (PARTITION BY fold, date)) JOIN (SELECT fold, {wide} FROM blends GROUP BY fold) USING (fold))"
+
+
+def inner_sql(frm):
+    cut = "CAST(floor((last - first + 1) * 0.85) AS INTEGER)"
+    return f"(SELECT fold, first AS fit_lo, first + greatest({cut} - 6, 0) - 1 AS fit_hi, first + {cut} AS val_lo, last AS val_hi, out_lo, out_hi FROM {frm})"
+
+
+ONE_SPAN = "(SELECT 0 AS fold, 1 AS first, max(ord) FILTER (label IS NOT NULL) AS last, 1 AS out_lo, max(ord) AS out_hi FROM st)"
+LEARNT = f"WITH {standard_sql(fm.names(FITTED))}, win AS {inner_sql(ONE_SPAN)}, {ensembles_sql(FITTED, 'win')}"
+
+
+def one_span(df):
+    """A single fold: everything labelled is fitted and weighed, every session scored."""
+    last = F.max(F.when(C("label").isNotNull(), C("ord")))
+    return df.agg(last.alias("last"), F.max("ord").alias("out_hi")).select(F.lit(0).alias("fold"), F.lit(1).alias("first"), "last", F.lit(1).alias("out_lo"), "out_hi")
+
+
+@query(
+    "train_factor_ensembles",
+    LEARNT + " SELECT factor_group, model, ic, weight, factor_ic, blend FROM weights JOIN blends USING (fold, factor_group)",
+    q="ic weight factor_ic blend",
+)
 def train_factor_ensembles(t):
     df = learn_rows(t)
-    e = ml.train(df, groups_of(df), "label", 10, t.rows("lineitem"))
-    blend = e.blend()
-    rows = [(g, m, float(ic), e.weights(g)[m], blend[g]) for g, ics in e.ics.items() for m, ic in ics.items()]
-    return t.spark.createDataFrame(rows, "factor_group string, model string, ic double, weight double, blend double")
+    _, weights, blend = fm.ensembles(df, fm.inner_windows(one_span(df)), groups_of(df), "label", 10, t.rows("lineitem"))
+    return weights.join(blend, ["fold", "factor_group"]).select("factor_group", "model", "ic", "weight", "factor_ic", "blend")
+
+
+# every labelled session is fitted again; the weights stay those of the inner split
+REFIT_WIN = "(SELECT fold, first AS fit_lo, last AS fit_hi, out_lo, out_hi FROM " + ONE_SPAN + ")"
+REFIT = LEARNT + f", full_win AS {REFIT_WIN}, again AS (WITH {fits_sql(FITTED, 'full_win', 'f')} SELECT * FROM f)"
 
 
-@query("refit_full")
+@query("refit_full", REFIT + f" SELECT symbol, date, pred FROM {blended_sql(FITTED, predicted_sql(FITTED, 'full_win', 'again', 'out'))}", q="pred", d="date")
 def refit_full(t):
     df = learn_rows(t)
-    e = ml.refit(ml.train(df, groups_of(df), "label", 10, t.rows("lineitem")), df, "label")
-    return ml.predict(e, df).select("symbol", "date", "pred")
+    groups, span = groups_of(df), one_span(df)
+    _, weights, blend = fm.ensembles(df, fm.inner_windows(span), groups, "label", 10, t.rows("lineitem"))
+    whole = span.select("fold", C("first").alias("fit_lo"), C("last").alias("fit_hi"), "out_lo", "out_hi")
+    made = fm.predictions(df, fm.fits(df, whole, groups, "label"), whole, "out", groups)
+    return fm.blended(made, weights, blend, groups).select("symbol", "date", "pred")
 
 
-@query("predict_panel")
+@query(
+    "predict_panel",
+    LEARNT + f" SELECT symbol, date, factor_price, factor_activity, pred FROM {blended_sql(FITTED, predicted_sql(FITTED, 'win', 'fitted', 'out'))}",
+    q="factor_price factor_activity pred",
+    d="date",
+)
 def predict_panel(t):
     df = learn_rows(t)
-    e = ml.train(df, groups_of(df), "label", 10, t.rows("lineitem"))
-    return ml.predict(e, df).select("symbol", "date", "factor_price", "factor_activity", "pred")
+    groups, windows = groups_of(df), fm.inner_windows(one_span(df))
+    fitted, weights, blend = fm.ensembles(df, windows, groups, "label", 10, t.rows("lineitem"))
+    made = fm.predictions(df, fitted, windows, "out", groups)
+    return fm.blended(made, weights, blend, groups).select("symbol", "date", "factor_price", "factor_activity", "pred")
+
+
+WALK = f"""WITH {standard_sql(fm.names(FITTED))}, folds AS (WITH {folds_sql(1200, 600, 600, 25)}), od AS (SELECT DISTINCT date, ord FROM st),
+    spans AS (SELECT fold, a.ord AS first, b.ord AS last, c.ord AS out_lo, e.ord AS out_hi FROM folds JOIN od a ON a.date = train_start JOIN od b ON b.date = train_end JOIN od c ON c.date = test_start JOIN od e ON e.date = test_end),
+    win AS {inner_sql("spans")}, {ensembles_sql(FITTED, "win")}, oos AS {blended_sql(FITTED, predicted_sql(FITTED, "win", "fitted", "out"))}"""
 
 
-@query("run_walk_forward")
+@query("run_walk_forward", WALK + f" SELECT * FROM {nw_sql(ic_sql('oos', 'pred', 'label', 10, 'fold'), 4, by='fold')}", q=STATS)
 def run_walk_forward(t):
     df = learn_rows(t)
+    groups, order = groups_of(df), session_table(df.select("date"))
     folds = ml.fold_table(df, 1200, 600, 600, 25)
-    oos = ml.walk_forward(df, groups_of(df), "label", folds, 10, t.rows("lineitem"))
+    for mark, name in (("train_start", "first"), ("train_end", "last"), ("test_start", "out_lo"), ("test_end", "out_hi")):
+        folds = folds.join(F.broadcast(order.select(C("date").alias(mark), C("ord").alias(name))), mark)
+    windows = fm.inner_windows(folds)
+    fitted, weights, blend = fm.ensembles(df, windows, groups, "label", 10, t.rows("lineitem"))
+    oos = fm.blended(fm.predictions(df, fitted, windows, "out", groups), weights, blend, groups)
     return ev.summarize_ic(ev.daily_rank_ic(oos, "pred", "label", 10, t.rows("lineitem"), by=["fold"]), 4, by=["fold"])
 
 
-@query("feature_voting")
+VOTERS = ["f1", "f2", "f3", "f4"]
+
+
+@query(
+    "feature_voting",
+    f"""WITH {standard_sql(VOTERS)}, win AS (SELECT 0 AS fold, 1 AS fit_lo, max(ord) AS fit_hi FROM st), {moments_sql({"all": VOTERS}, "win")}, {ridge_sql("all", VOTERS, "mo")},
+    si AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, {snap_sql(f'abs(b_all_{f})')} AS linear FROM r_all" for f in VOTERS)}),
+    be AS (SELECT feature, max(gain) AS gain FROM gains GROUP BY feature), bo AS (SELECT feature, linear, coalesce(gain, 0) AS gain FROM si LEFT JOIN be USING (feature)),
+    sh AS (SELECT feature, linear, {snap_sql("(gain / nullif(sum(gain) OVER (), 0))")} AS split FROM bo)
+    SELECT *, rank() OVER (ORDER BY linear DESC) + rank() OVER (ORDER BY split DESC) AS votes FROM sh ORDER BY votes, feature LIMIT 3""",
+    q="linear split",
+)
 def feature_voting(t):
-    df = learn_rows(t)
-    features = ["f1", "f2", "f3", "f4"]
-    rows = ml._assembled(df.where(C("label").isNotNull()), features)
-    models = ml.default_models()
-    forest = list(models["forest"].fit(rows).featureImportances.toArray())
-    linear = [abs(v) for v in models["linear"].fit(rows).coefficients.toArray()]
-    return ml.vote(t.spark, {"forest": forest, "linear": linear}, features, 3)
+    return fm.feature_votes(learn_rows(t, VOTERS), VOTERS, "label", 3)
 
 
 @query(

@@ -94,19 +94,6 @@ def test_folds_keep_labels_out_of_the_test(spark):
         assert (f.test_start - f.train_end).days == 7
 
 
-def test_training_learns_a_planted_factor(spark):
-    rng = np.random.default_rng(2)
-    rows = []
-    for d in range(80):
-        for s in range(25):
-            x, z = rng.normal(size=2)
-            rows.append((dt.date(2022, 1, 1) + dt.timedelta(d), s, float(x), float(z), float(0.8 * x + rng.normal() * 0.3)))
-    df = spark.createDataFrame(rows, "date date, symbol int, f1 double, f2 double, label double")
-    e = ml.train(df, {"real": ["f1"], "noise": ["f2"]}, "label", 20)
-    assert min(e.ics["real"].values()) > 0.6 and e.blend()["real"] > 0.5
-    pred = ml.predict(e, df)
-    assert ev.daily_rank_ic(pred, "pred", "label", 20).agg(F.avg("ic")).first()[0] > 0.5
-
 
 def test_normal_tail_is_exact_in_both_tails():
     z = np.append(np.linspace(-9.0, 36.0, 20_001), [0.0, np.inf, -np.inf])
