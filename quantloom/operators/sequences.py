@@ -88,36 +88,57 @@ def iv_sequences(rows: DataFrame, n: int = 20) -> DataFrame:
 
 
 def parabolic_sar(bars: DataFrame, start: float = 0.02, top: float = 0.2) -> DataFrame:
-    """Stop-and-reverse level and direction. Each step needs the one before, so it is a loop per symbol.
+    """Stop-and-reverse level and direction. Each step needs the one before, so a symbol's bars, which the calendar bounds, are folded in order.
 
-    The extreme point begins at zero, as the reproduced definition has it.
+    The extreme point begins at zero, as the reproduced definition has it. The fold runs over blocks, so that what it gathers is not
+    copied at every bar.
     """
+    block = 64
+    w = Window.partitionBy("symbol").orderBy("date")
+    day = F.struct(
+        "date", "high", "low", "close",
+        F.least(F.lag("low", 1).over(w), F.lag("low", 2).over(w)).alias("floor"),
+        F.greatest(F.lag("high", 1).over(w), F.lag("high", 2).over(w)).alias("ceiling"),
+    )
+    days = bars.select("symbol", day.alias("day")).groupBy("symbol").agg(F.array_sort(F.collect_list("day")).alias("days"))
+
+    def bound(value: Column, then) -> Column:
+        """``then`` of a value that is computed once."""
+        return F.element_at(F.transform(F.array(value), then), 1)
+
+    def step(s: Column, x: Column) -> Column:
+        up, extreme, pace = s["side"] > 0, s["extreme"], s["pace"]
+        ahead = s["level"] + pace * (extreme - s["level"])
+        raw = F.when(up, F.least(ahead, x["floor"])).otherwise(F.greatest(ahead, x["ceiling"]))
+
+        def turned(raw: Column) -> Column:
+            return F.struct(raw.alias("raw"), F.when(up, x["low"] < raw).otherwise(x["high"] > raw).alias("crossed"))
+
+        def moved(t: Column) -> Column:
+            crossed = t["crossed"]
+            reach = F.when(up == crossed, x["low"]).otherwise(x["high"])
+            further = F.when(up, reach > extreme).otherwise(reach < extreme)
+            level, side = F.when(crossed, extreme).otherwise(t["raw"]), F.when(crossed, -s["side"]).otherwise(s["side"])
+            quick = F.when(crossed, F.lit(start)).when(further, F.least(pace + start, F.lit(top))).otherwise(pace)
+            point = F.struct(x["date"].alias("date"), level.alias("psar"), side.alias("direction"))
+            return state(level, side, F.when(crossed | further, reach).otherwise(extreme), quick, F.concat(s["out"], F.array(point)))
+
+        return bound(raw, lambda r: bound(turned(r), moved))
+
+    def state(level, side, extreme, pace, out) -> Column:
+        return F.struct(level.alias("level"), side.alias("side"), extreme.alias("extreme"), pace.alias("pace"), out.alias("out"))
+
+    first = F.element_at("days", 1)
+    begun = F.array(F.struct(first["date"].alias("date"), first["close"].alias("psar"), F.lit(1.0).alias("direction")))
+    none = F.slice(begun, 1, 0)
+
+    def over_block(s: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice("days", k * block + 2, F.lit(block)), state(s["level"], s["side"], s["extreme"], s["pace"], none), step)
+        return bound(inner, lambda r: state(r["level"], r["side"], r["extreme"], r["pace"], F.concat(s["out"], r["out"])))
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("date")
-        hi, lo, close = (g[c].to_numpy(dtype=float) for c in ("high", "low", "close"))
-        level, side = np.empty(len(g)), np.empty(len(g))
-        extreme, pace = 0.0, start
-        level[0], side[0] = close[0], 1.0
-        for t in range(1, len(g)):
-            up = side[t - 1] > 0
-            raw = level[t - 1] + pace * (extreme - level[t - 1])
-            recent = (lo if up else hi)[max(t - 2, 0) : t]
-            raw = min(raw, *recent) if up else max(raw, *recent)
-            crossed = lo[t] < raw if up else hi[t] > raw
-            reach = (lo[t] if up else hi[t]) if crossed else (hi[t] if up else lo[t])
-            if crossed:
-                level[t], side[t] = extreme, -side[t - 1]
-                extreme, pace = reach, start
-            else:
-                level[t], side[t] = raw, side[t - 1]
-                if (reach > extreme) if up else (reach < extreme):
-                    extreme, pace = reach, min(pace + start, top)
-        return pd.DataFrame({"symbol": g["symbol"], "date": g["date"], "psar": level, "direction": side})
-
-    rows = bars.select("symbol", "date", "high", "low", "close")
-    kind = dict(rows.dtypes)["symbol"]
-    return rows.groupBy("symbol").applyInPandas(walk, f"symbol {kind}, date date, psar double, direction double")
+    blocks = F.sequence(F.lit(0), F.floor((F.size("days") - 1) / block).cast("int"))
+    folded = F.aggregate(blocks, state(first["close"], F.lit(1.0), F.lit(0.0), F.lit(start), begun), over_block, lambda s: s["out"])
+    return days.select("symbol", F.explode(folded).alias("p")).select("symbol", "p.date", "p.psar", "p.direction")
 
 
 def rolling_apply(panel, x: Column, w: int, fn) -> Column:

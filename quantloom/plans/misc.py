@@ -112,7 +112,22 @@ def news_features(t):
     return p.df.select("symbol", "date", *[c.alias(n) for n, c in made.items()])
 
 
-@query("psar")
+@query(
+    "psar",
+    """WITH RECURSIVE b AS (SELECT symbol, date, high, low, close, row_number() OVER w AS i, least(lag(low) OVER w, lag(low, 2) OVER w) AS low_, greatest(lag(high) OVER w, lag(high, 2) OVER w) AS high_
+      FROM {long} WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+    p AS (SELECT symbol, date, i, close AS psar, 1.0::DOUBLE AS direction, 0.0::DOUBLE AS extreme, 0.02::DOUBLE AS pace FROM b WHERE i = 1
+      UNION ALL SELECT symbol, date, i, CASE WHEN crossed THEN extreme ELSE raw END, CASE WHEN crossed THEN -direction ELSE direction END, CASE WHEN crossed OR further THEN reach ELSE extreme END,
+        CASE WHEN crossed THEN 0.02 WHEN further THEN least(pace + 0.02, 0.2) ELSE pace END
+      FROM (SELECT *, CASE WHEN direction > 0 THEN reach > extreme ELSE reach < extreme END AS further
+      FROM (SELECT *, CASE WHEN (direction > 0) = crossed THEN low ELSE high END AS reach
+      FROM (SELECT *, CASE WHEN direction > 0 THEN low < raw ELSE high > raw END AS crossed
+      FROM (SELECT b.symbol, b.date, b.i, high, low, direction, extreme, pace, CASE WHEN direction > 0 THEN least(psar + pace * (extreme - psar), low_) ELSE greatest(psar + pace * (extreme - psar), high_) END AS raw
+      FROM p JOIN b ON b.symbol = p.symbol AND b.i = p.i + 1)))))
+    SELECT symbol, date, psar, direction FROM p""",
+    q="psar",
+    d="date",
+)
 def psar(t):
     return sq.parabolic_sar(t.long_bars())
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 C = F.col
 
@@ -48,19 +49,31 @@ def latest_batch(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 def append_only(stream: DataFrame, out: str) -> None:
     """Append events newer than the last stored one of their key; stored rows are never rewritten.
 
-    ``out`` must hold a first batch, with a negative number. Duplicate deliveries inside the watermark are dropped by the stream.
+    ``out`` must hold a first batch, with a negative number. Its marks, one row a key, are written once beside it; from then on each key's
+    mark is kept in the state store, so a batch reads neither the sink nor its history. Duplicate deliveries inside the
+    watermark are dropped by the stream.
     """
-    spark = stream.sparkSession
-
-    def fresh(batch: DataFrame, batch_id: int) -> DataFrame:
-        # a retried batch must not see its own first attempt
-        stored = spark.read.parquet(out).where(C("batch") < batch_id)
-        marks = stored.groupBy("user_id").agg(F.max("ts").alias("_mark"))
-        kept = batch.join(marks, "user_id", "left").where(C("_mark").isNull() | (C("ts") > C("_mark")))
-        return kept.drop("_mark")
-
-    once = stream.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
-    run(once, out, "append", fresh)
+    spark, columns, marks = stream.sparkSession, stream.columns, f"{out}-marks"
+    first = spark.read.parquet(out).where(C("batch") < 0)
+    first.groupBy("user_id").agg(F.max(F.unix_micros("ts")).alias("_start")).write.mode("ignore").parquet(marks)
+    rows = stream.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+    rows = rows.join(spark.read.parquet(marks), "user_id", "left").withColumn("_at", F.unix_micros("ts"))
+
+    def newer(key, frames, state: GroupState):
+        mark = last = state.get[0] if state.exists else None
+        for frame in frames:
+            if mark is None and frame["_start"].notna().any():
+                mark = last = int(frame["_start"].dropna().iloc[0])
+            kept = frame if mark is None else frame[frame["_at"] > mark]
+            if len(kept):
+                last = max(int(kept["_at"].max()), -(1 << 63) if last is None else last)
+                yield kept[columns]
+        if last is not None:
+            state.update((last,))
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in stream.dtypes)
+    fresh = rows.groupBy("user_id").applyInPandasWithState(newer, kinds, "mark long", "append", GroupStateTimeout.NoTimeout)
+    run(fresh, out, "append")
 
 
 def daily_loss(stream: DataFrame, last_equity: DataFrame, max_loss: float, out: str) -> None:
