@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm import batches as b
 from quantloom.llm.bits import bit_field, passes
-from quantloom.llm.store import keep
+from quantloom.llm.store import keep, spare
 
 #: Words of a window.
 WINDOW = 10
@@ -220,6 +220,7 @@ def near_phrases(docs: DataFrame, items: DataFrame, slack: int, size: int = WIND
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no window of any item, with their columns."""
-    bad = contamination(docs.select("doc_id", "text"), items).where("n_hit > 0").select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    rows = docs.withColumns({"_a": F.xxhash64("doc_id"), "_b": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return rows.join(bad, ["_a", "_b"], "left_anti").select(*docs.columns)
+    a, c = spare(docs, "_a", "_b")
+    bad = contamination(docs.select("doc_id", "text"), items).where("n_hit > 0").select(F.col("a").alias(a), F.col("b").alias(c))
+    rows = docs.withColumns({a: F.xxhash64("doc_id"), c: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return rows.join(bad, [a, c], "left_anti").select(*docs.columns)

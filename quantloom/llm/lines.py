@@ -3,9 +3,9 @@
 Lines with anything but white space are judged, however short. Equal lines are one entry. An entry's shingles are its runs of ``SHINGLE``
 characters at every position, or the whole of a shorter line; its signature is one minimum for each of HASHES orders of their hashes, and each band
 is three of these, shared with no other band. A candidate pair links when the Jaccard similarity of the shingle sets is at least
-``ALIKE``. First, entries of a bucket are candidates with the bucket's smallest entry, in an order of the bucket's own. Then all
-other pairs of a bucket that are not yet in one component are: in buckets of up to DIRECT entries at once, in larger ones when
-they share a shingle of their prefixes, rarest shingles first, which no pair that links fails to do. Of each
+``ALIKE``. First, entries of a bucket are candidates with the bucket's smallest entry, in an order of the bucket's own. Then, in buckets that
+still hold several components, the entries outside the bucket's largest one are candidates with the entries of other components, unless
+bitmaps of their shingle sets differ in more places than those of alike lines can. Of each
 connected component, and of each set of equal lines, the first line stays, by doc_id, then text hash, then line number.
 
 Signatures and similarities are made in Arrow batches: SQL functions would work on each position of each text one by one.
@@ -29,9 +29,10 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 from quantloom.llm import batches as b
 from quantloom.llm.bits import only_in
 from quantloom.llm.graph import components
-from quantloom.llm.store import keep
+from quantloom.llm.minhash import of_several, outside_pairs, parities
+from quantloom.llm.store import keep, spare
 
-SHINGLE, ALIKE, HASHES, DIRECT = 16, 0.8, 24, 64
+SHINGLE, ALIKE, HASHES = 16, 0.8, 24
 #: Each band is three orders of its own.
 BANDS = np.arange(HASHES).reshape(-1, 3)
 _ORDERS = b.mix(np.arange(1, HASHES + 1).astype(np.uint64)) | np.uint64(1)
@@ -88,13 +89,14 @@ def _alike(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(c).filter(near) for c in ("u", "v")], ["u", "v"])
 
 
-def _listed(batches) -> Iterator[pa.RecordBatch]:
-    """The different shingles of every line, in place of the line."""
+def _mapped(batches) -> Iterator[pa.RecordBatch]:
+    """The number of different shingles of every line and their bitmap, in place of the line."""
     for part, lines in b.pieces(batches, "line", _BYTES):
         h, edges = shingles(lines)
-        each = [np.unique(h[i:j]).view(np.int64) for i, j in zip(edges, edges[1:])]
-        held = b.lists(np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]), pa.int64())
-        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("root"), held], ["id", "root", "held"])
+        each = [np.unique(h[i:j]) for i, j in zip(edges, edges[1:])]
+        size = np.array([len(x) for x in each], np.int64)
+        bits = parities(np.concatenate(each), np.concatenate([[0], np.cumsum(size)]))
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size), b.lists(bits.ravel(), np.arange(lines.n + 1) * bits.shape[1], pa.int64())], ["id", "size", "bits"])
 
 
 def line_kinds(docs: DataFrame) -> DataFrame:
@@ -122,22 +124,6 @@ def _pairs(left: str, right: str) -> list[Column]:
     return [F.least(left, right).alias("u"), F.greatest(left, right).alias("v")]
 
 
-def _by_prefix(docs: DataFrame, hot: DataFrame) -> DataFrame:
-    """Candidates (u, v) of different roots among the entries ``hot(id, root)``: every pair that is alike is one."""
-    lines = hot.join(_lines_of(docs, hot.select(F.col("id").alias("term"))), "id").select("id", "root", "line")
-    held = keep(lines.mapInArrow(_listed, "id long, root long, held array<long>"))
-    shown = held.select("id", "root", F.size("held").alias("n"), F.explode("held").alias("h"))
-    often = shown.groupBy("h").agg(F.count("*").alias("often"))
-    ordered = shown.join(often, "h").groupBy("id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("all"))
-    prefix = F.slice("all", F.lit(1), F.col("n") - F.ceil(ALIKE * F.col("n") - 1e-9).cast("int") + 1)
-    ends = ordered.select("id", "root", "n", F.posexplode(prefix).alias("at", "x")).where("x.often > 1").select("id", "root", "n", "at", "x.h")
-    other = ends.select(*[F.col(c).alias(f"{c}_") for c in ("id", "root", "n", "at", "h")])
-    most = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n_") - F.col("at_") - 1) + F.least("at", "at_")
-    fits = most * (1 + ALIKE) >= ALIKE * (F.col("n") + F.col("n_")) - 1e-9
-    met = ends.join(other, (F.col("h") == F.col("h_")) & (F.col("id") < F.col("id_")) & (F.col("root") != F.col("root_")) & fits)
-    return met.select(*_pairs("id", "id_"))
-
-
 def similar_lines(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     """Edges (u, v) between ids of different lines that are alike, enough of them to connect all that are linked."""
     dealt = kinds.select("id", F.explode("keys").alias("key"))
@@ -145,17 +131,11 @@ def similar_lines(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     ends = dealt.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("low"), F.count("*").alias("n")).where("n > 1")
     met = keep(dealt.join(ends, "key").select("key", "id", F.col("low").bitwiseXOR(mask).alias("low"), "n"))
     edges = keep(_linked(docs, keep(met.where("id <> low").select(*_pairs("id", "low")).distinct())))
-    roots = components(edges)
-    rooted = met.where("n > 2").join(roots, met["id"] == roots["node"], "left").select("key", "id", "low", "n", F.coalesce("root", "id").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("key")
-    still = keep(rooted.join(several, "key"))
-    few, other = still.where(F.col("n") <= DIRECT).where("id <> low"), ("id", "root")
-    twice = few.join(few.select("key", *[F.col(c).alias(f"{c}_") for c in other]), "key").where("id < id_ and root <> root_")
-    hot = keep(still.where(F.col("n") > DIRECT).select("id", "root").distinct())
-    more = twice.select(*_pairs("id", "id_"))
-    if not hot.isEmpty():
-        more = more.union(_by_prefix(docs, hot))
-    return edges.union(_linked(docs, keep(more.distinct())))
+    roots = keep(components(edges))
+    rooted = met.where("n > 2").join(roots, met["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    lists = keep(of_several(rooted))
+    sets = keep(_lines_of(docs, lists.select(F.col("id").alias("term")).distinct()).mapInArrow(_mapped, "id long, size long, bits array<long>"))
+    return edges.union(_linked(docs, keep(outside_pairs(lists, sets, round(100 * ALIKE)))))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -170,25 +150,28 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return fall.groupBy("doc_id", "b").agg(F.array_sort(F.collect_set("at")).alias("removed"))
 
 
-def _marked(docs: DataFrame, *columns) -> DataFrame:
-    gone = removed_lines(docs.select("doc_id", "text")).select(F.xxhash64("doc_id").alias("_a"), F.col("b").alias("_b"), F.col("removed").alias("_removed"))
-    rows = docs.select(*columns, F.xxhash64("doc_id").alias("_a"), F.xxhash64(_text()).alias("_b"))
-    return rows.join(gone, ["_a", "_b"], "left").withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
+def _marked(docs: DataFrame, removed: str, *columns) -> DataFrame:
+    """The given columns of every row, and in ``removed`` the numbers of the lines that fall."""
+    a, c = spare(docs, f"{removed}_a", f"{removed}_b")
+    gone = removed_lines(docs.select("doc_id", "text")).select(F.xxhash64("doc_id").alias(a), F.col("b").alias(c), F.col("removed").alias(removed))
+    rows = docs.select(*columns, F.xxhash64("doc_id").alias(a), F.xxhash64(_text()).alias(c))
+    return rows.join(gone, [a, c], "left").withColumn(removed, F.coalesce(removed, F.array().cast("array<int>")))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (line numbers from 0) of every row."""
-    rows = _marked(docs, "doc_id", F.size(F.split(_text(), "\n")).cast("long").alias("n_lines"))
+    rows = _marked(docs, "_removed", "doc_id", F.size(F.split(_text(), "\n")).cast("long").alias("n_lines"))
     return rows.select("doc_id", "n_lines", F.size("_removed").cast("long").alias("n_removed"), F.col("_removed").alias("removed"))
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, their columns as they are but for text, which has lost its repeated lines, and n_chars if there."""
+    removed, split = spare(docs, "_removed", "_lines")
     lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
-    rows = _marked(docs, *docs.columns).withColumn("_lines", F.when(F.size("_removed") > 0, lines))
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(removed))
+    rows = _marked(docs, removed, *docs.columns).withColumn(split, F.when(F.size(removed) > 0, lines))
+    text = F.when(F.col(split).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.col(split).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return rows.select(*docs.columns)

@@ -139,6 +139,29 @@ def confirmed(docs: DataFrame, entries: DataFrame, pairs: DataFrame) -> DataFram
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_alike, "u long, v long")
 
 
+def of_several(rooted: DataFrame) -> DataFrame:
+    """The rows (key, id, root) of the lists that hold several components, with ``home``, the one that has most entries there."""
+    tally = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    home = keep(tally.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("home"), F.count("*").alias("roots")).where("roots > 1"))
+    return rooted.join(home.select("key", "home"), "key")
+
+
+def outside_pairs(lists: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
+    """(u, v), once: entries of one list and different components, one of them not at home, whose bitmaps allow a similarity of ``alike`` per cent.
+
+    ``lists`` are from ``of_several``; ``sets`` has each entry's id, size and bits.
+    """
+    still = keep(lists.join(sets, "id"))
+    other = still.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "size", "bits")])
+    total = F.col("size") + F.col("size_")
+    most = total - 2 * F.floor((alike * total + 99 + alike) / F.lit(100 + alike))
+    bit = lambda i: F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i))))
+    differ = sum((bit(i) for i in range(1, BITS // 64)), bit(0))
+    once = (F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("home")) | (F.col("id") < F.col("id_")))
+    met = still.where("root <> home").alias("s").join(other.alias("t"), (F.col("s.key") == F.col("t.key")) & once & (differ <= most))
+    return met.select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v")).distinct()
+
+
 def links(docs: DataFrame, entries: DataFrame) -> DataFrame:
     """Edges (u, v) between entries that are alike, enough of them to connect all that are linked."""
     lists = merged_lists(entries)
@@ -149,17 +172,8 @@ def links(docs: DataFrame, entries: DataFrame) -> DataFrame:
     edges = keep(confirmed(docs, entries, keep(collisions(entries, led).where(F.col("n") >= MATCHES).select("u", "v"))))
     roots = keep(components(edges))
     rooted = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    tally = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    home = keep(tally.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("home"), F.count("*").alias("roots")).where("roots > 1"))
-    held = entries.select("id", F.col("n_shingles").alias("size"), "bits")
-    still = keep(rooted.join(home.select("key", "home"), "key").join(held, "id"))
-    other = still.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "size", "bits")])
-    total = F.col("size") + F.col("size_")
-    most = total - 2 * F.floor((ALIKE * total + 99 + ALIKE) / F.lit(100 + ALIKE))
-    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get("bits", F.lit(0)).bitwiseXOR(F.get("bits_", F.lit(0)))))
-    once = (F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("home")) | (F.col("id") < F.col("id_")))
-    outside = still.where("root <> home").alias("s").join(other.alias("t"), (F.col("s.key") == F.col("t.key")) & once & (differ <= most))
-    more = keep(outside.select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v")).distinct())
+    lists = keep(of_several(rooted))
+    more = keep(outside_pairs(lists, entries.select("id", F.col("n_shingles").alias("size"), "bits"), ALIKE))
     return edges.union(confirmed(docs, entries, keep(collisions(entries, more).where(F.col("n") >= MATCHES).select("u", "v"))))
 
 

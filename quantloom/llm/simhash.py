@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm import batches as b
 from quantloom.llm.graph import components
-from quantloom.llm.store import keep
+from quantloom.llm.store import keep, spare
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Borders of the six runs of bits, and the pairs of runs that deal entries out.
@@ -201,8 +201,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows are told apart by hashes of doc_id and of the text, so repeated rows leave one.
     """
     text = F.xxhash64(F.coalesce("text", F.lit("")))
+    a, c = spare(docs, "_id", "_text")
     found = _classed(docs, text.alias("_text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_text")).alias("k")
-    chosen = found.groupBy("root").agg(first).select(F.xxhash64("k.doc_id").alias("_id"), F.col("k._text").alias("_text"))
-    rows = docs.withColumns({"_id": F.xxhash64("doc_id"), "_text": text})
-    return rows.join(chosen, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    chosen = found.groupBy("root").agg(first).select(F.xxhash64("k.doc_id").alias(a), F.col("k._text").alias(c))
+    rows = docs.withColumns({a: F.xxhash64("doc_id"), c: text})
+    return rows.join(chosen, [a, c], "left_semi").dropDuplicates([a, c]).select(*docs.columns)

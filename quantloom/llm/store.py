@@ -23,3 +23,14 @@ def keep(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spare(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` does not have, one for each stem."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

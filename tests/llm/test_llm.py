@@ -133,7 +133,7 @@ def test_line_dedup_against_all_pairs(spark):
             for at in rng.choice(40, edits, replace=False):
                 line[at] = spell()
             rows.append((len(rows), "short\n" + " ".join(line)))
-    cut = [{t[6:][i : i + lines.SHINGLE] for i in [0] + [k + 1 for k, c in enumerate(t[6:]) if c == " "]} for _, t in rows]
+    cut = [{t[6:][i : i + lines.SHINGLE] for i in range(max(1, len(t) - 5 - lines.SHINGLE))} for _, t in rows]
     root = list(range(len(rows)))
     for x in range(len(rows)):
         for y in range(x):
@@ -142,8 +142,9 @@ def test_line_dedup_against_all_pairs(spark):
                 root = [low if r == high else r for r in root]
     want = {i for i, r in enumerate(root) if r != i}
     report = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    got = {r["doc_id"] for r in report if r["removed"] == [1]}
-    # banding may miss links, most of all near the limit, where this fixture has many: 161 of 166 when it was written
+    got = {r["doc_id"] for r in report if 1 in r["removed"]}
+    # the first of the repeated lines 'short' stays; banding may miss links, most of all near the limit
+    assert {r["doc_id"] for r in report if 0 not in r["removed"]} == {0}
     assert got <= want and len(got) >= 0.95 * len(want) > 100
 
 
@@ -159,9 +160,7 @@ def test_line_dedup_sees_whole_tokens(spark):
     assert {r["doc_id"] for r in report if r["n_removed"]} == {n + 1, n + 3}
 
 
-@pytest.mark.parametrize("direct", [64, 2])
-def test_line_dedup_meets_every_pair(spark, monkeypatch, direct):
-    monkeypatch.setattr(lines, "DIRECT", direct, raising=False)
+def test_line_dedup_meets_every_pair(spark):
     rng = np.random.default_rng(5)
     spell = lambda n: "".join(rng.choice(list("abcdeé😀 "), n))
     rows, template = [], spell(150)
@@ -329,3 +328,85 @@ def test_pipeline(spark):
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
     drawn = pipe.run(spark, "/root/testdata/sf0.001").collect()
     assert drawn and {r["doc_id"] for r in drawn} < ids
+
+
+CLASH = ("_id", "_text", "_a", "_b", "_removed", "_removed_a", "_lines", "n_words", "kept", "p_good", "c0", "id", "root", "key")
+
+
+def plain_stage(name, rows, items):
+    """What a stage keeps of (doc_id, text), by plain loops; without quality rules, which are learnt."""
+    texts_of = [(i, t or "") for i, t in rows]
+    if name == "benchmark_decontamination":
+        grams = set()
+        for t in items:
+            w = re.findall(ALNUM, t.translate(LOW))
+            grams |= {tuple(w[j : j + 10]) for j in range(max(1, len(w) - 9))}
+        own = [re.findall(ALNUM, t.translate(LOW)) for _, t in texts_of]
+        return [(i, t) for (i, t), (_, s), w in zip(rows, texts_of, own) if not any(tuple(w[j : j + 10]) in grams for j in range(max(0, len(w) - 9)))]
+    if name == "simhash_near_dedup":
+        prints, root = [fingerprint(t) for _, t in texts_of], list(range(len(rows)))
+        for _ in rows:
+            for x, p in enumerate(prints):
+                for y, q in enumerate(prints):
+                    if bin(p ^ q).count("1") <= 4:
+                        root[x] = root[y] = min(root[x], root[y])
+        first = {}
+        for (i, t), r in zip(rows, root):
+            first[r] = min(first.get(r, (i, t)), (i, t), key=lambda k: k[0])
+        return list(first.values())
+    seen, sets, out = {}, [], []  # line dedup: the first line of every component stays
+    lines_of = [(d, n, line) for d, (_, t) in enumerate(texts_of) for n, line in enumerate(t.split("\n")) if line.strip()]
+    cut = [{line[i : i + 16] for i in range(max(1, len(line) - 15))} for _, _, line in lines_of]
+    root = list(range(len(cut)))
+    for x in range(len(cut)):
+        for y in range(x):
+            if len(cut[x] & cut[y]) >= 0.8 * len(cut[x] | cut[y]):
+                low, high = sorted((root[x], root[y]))
+                root = [low if r == high else r for r in root]
+    gone = {(d, n) for k, (d, n, _) in enumerate(lines_of) if root[k] != k}
+    for d, (i, t) in enumerate(rows):
+        left = [line for n, line in enumerate((t or "").split("\n")) if (d, n) not in gone]
+        out.append((i, t if len(left) == len((t or "").split("\n")) else "\n".join(left)))
+    return out
+
+
+def test_stages_row_by_row_and_the_chain(spark, tmp_path):
+    import corpus_pipeline as pipe
+
+    rng = np.random.default_rng(21)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(700)]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [prose(30) for _ in range(5)]
+    repeated, body = prose(25), prose(150)
+    words = body.split()
+    rows = [(k, prose(60) + "\n" + prose(40)) for k in range(30)]
+    rows += [(30 + k, prose(50) + "\n" + repeated + "\n" + prose(30)) for k in range(6)]
+    rows += [(40, body), (41, body), (42, " ".join([*words[:70], "changed", *words[71:]])), (43, body + "\n" + prose(3))]
+    rows += [(50 + k, prose(40) + " " + t.upper() + " " + prose(40)) for k, t in enumerate(items)]
+    rows += [(60, None), (61, ""), (62, "junk junk"), (63, "a b c"), (64, "word " * 400)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
+    full = [(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), *(f"{c}-{i}" for c in CLASH)) for i, t in rows]
+    spark.createDataFrame(full, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels = [(i, int(i < 60 and i % 10 < 8 or i < 30), 0) for i, _ in rows]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, held = spark.read.parquet(str(tmp_path / "documents.parquet")), rows
+    for name, stage in pipe.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        got = docs.collect()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASH]
+        assert all(r[c] == f"{c}-{r['doc_id']}" for r in got for c in CLASH) and all(r["n_chars"] == len(r["text"] or "") for r in got)
+        now = sorted((r["doc_id"], r["text"]) for r in got)
+        if name == "quality_rules":  # the base rules by hand; the model may reject more, and must not reject clean prose
+            failed = {i for i, t in rows if len(re.findall(SPACED, t or "")) < 20} | {64}
+            assert set(now) <= {(i, t) for i, t in rows if i not in failed} and len([i for i, _ in now if i < 30]) >= 28
+        else:
+            assert now == sorted(plain_stage(name, held, items), key=lambda r: r[0])
+        held = now
+    drawn = pipe.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert drawn and {r["doc_id"] for r in drawn} <= {i for i, _ in held}
+    chain = pipe.run(spark, str(tmp_path)).collect()
+    assert Counter(tuple(r) for r in chain) == Counter(tuple(r) for r in drawn)
+    none = docs.limit(0)
+    for _, stage in pipe.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
