@@ -18,7 +18,9 @@ from quantloom.llm.store import shared_folder
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the classifier keep."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, model).where("kept").select(*docs.columns)
+    named = [f"c{i}" for i in range(len(docs.columns))]  # names that the judged columns don't have
+    judged = quality.judge(docs.toDF(*named), model, named[docs.columns.index("text")])
+    return judged.where("kept").select(*named).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
