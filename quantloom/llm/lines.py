@@ -32,7 +32,7 @@ from quantloom.llm.graph import components
 from quantloom.llm.minhash import of_several, outside_pairs, parities
 from quantloom.llm.store import keep, spare
 
-SHINGLE, ALIKE, HASHES = 16, 0.8, 24
+SHINGLE, ALIKE, HASHES, BITS = 16, 0.8, 24, 4096
 #: Each band is three orders of its own.
 BANDS = np.arange(HASHES).reshape(-1, 3)
 _ORDERS = b.mix(np.arange(1, HASHES + 1).astype(np.uint64)) | np.uint64(1)
@@ -95,7 +95,7 @@ def _mapped(batches) -> Iterator[pa.RecordBatch]:
         h, edges = shingles(lines)
         each = [np.unique(h[i:j]) for i, j in zip(edges, edges[1:])]
         size = np.array([len(x) for x in each], np.int64)
-        bits = parities(np.concatenate(each), np.concatenate([[0], np.cumsum(size)]))
+        bits = parities(np.concatenate(each), np.concatenate([[0], np.cumsum(size)]), BITS)
         yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size), b.lists(bits.ravel(), np.arange(lines.n + 1) * bits.shape[1], pa.int64())], ["id", "size", "bits"])
 
 
@@ -135,7 +135,7 @@ def similar_lines(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     rooted = met.where("n > 2").join(roots, met["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     lists = keep(of_several(rooted))
     sets = keep(_lines_of(docs, lists.select(F.col("id").alias("term")).distinct()).mapInArrow(_mapped, "id long, size long, bits array<long>"))
-    return edges.union(_linked(docs, keep(outside_pairs(lists, sets, round(100 * ALIKE)))))
+    return edges.union(_linked(docs, keep(outside_pairs(lists, sets, round(100 * ALIKE), BITS))))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -56,11 +56,11 @@ def signatures(held: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([(b.mix(np.minimum.reduceat(held * k, full)) >> np.uint64(32)).astype(np.uint32) for k in _ORDERS], 1)
 
 
-def parities(held: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """A bitmap of BITS bits for each set, as longs: whether an odd number of its hashes falls on the bit."""
-    out = np.zeros((len(edges) - 1, BITS // 8), np.uint8)
+def parities(held: np.ndarray, edges: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """A bitmap for each set, as longs: whether an odd number of its hashes falls on the bit."""
+    out = np.zeros((len(edges) - 1, bits // 8), np.uint8)
     for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        out[i] = np.packbits(np.bincount((held[lo:hi] % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1)
+        out[i] = np.packbits(np.bincount((held[lo:hi] % np.uint64(bits)).astype(np.int64), minlength=bits) & 1)
     return out.view(np.int64)
 
 
@@ -146,17 +146,17 @@ def of_several(rooted: DataFrame) -> DataFrame:
     return rooted.join(home.select("key", "home"), "key")
 
 
-def outside_pairs(lists: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
+def outside_pairs(lists: DataFrame, sets: DataFrame, alike: int, bits: int = BITS) -> DataFrame:
     """(u, v), once: entries of one list and different components, one of them not at home, whose bitmaps allow a similarity of ``alike`` per cent.
 
-    ``lists`` are from ``of_several``; ``sets`` has each entry's id, size and bits.
+    ``lists`` are from ``of_several``; ``sets`` has each entry's id, size and bitmap of so many ``bits``.
     """
     still = keep(lists.join(sets, "id"))
     other = still.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "size", "bits")])
     total = F.col("size") + F.col("size_")
     most = total - 2 * F.floor((alike * total + 99 + alike) / F.lit(100 + alike))
     bit = lambda i: F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i))))
-    differ = sum((bit(i) for i in range(1, BITS // 64)), bit(0))
+    differ = sum((bit(i) for i in range(1, bits // 64)), bit(0))
     once = (F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("home")) | (F.col("id") < F.col("id_")))
     met = still.where("root <> home").alias("s").join(other.alias("t"), (F.col("s.key") == F.col("t.key")) & once & (differ <= most))
     return met.select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v")).distinct()
