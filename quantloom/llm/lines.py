@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 from quantloom.llm import batches as b
 from quantloom.llm.bits import only_in
 from quantloom.llm.graph import components
-from quantloom.llm.minhash import of_several, outside_pairs, parities
+from quantloom.llm.minhash import of_several, parities
 from quantloom.llm.store import keep, spare
 
 SHINGLE, ALIKE, HASHES, BITS = 16, 0.8, 24, 4096
@@ -135,7 +135,26 @@ def similar_lines(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     rooted = met.where("n > 2").join(roots, met["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     lists = keep(of_several(rooted))
     sets = keep(_lines_of(docs, lists.select(F.col("id").alias("term")).distinct()).mapInArrow(_mapped, "id long, size long, bits array<long>"))
-    return edges.union(_linked(docs, keep(outside_pairs(lists, sets, round(100 * ALIKE), BITS))))
+    return edges.union(_linked(docs, keep(_outside(lists, sets))))
+
+
+def _outside(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v), once: entries of different components in one bucket, one of them not at home, whose bitmaps allow them to be alike.
+
+    A pair is listed in the first bucket that both are in. Unlike pairs mostly fall by the first part of their bitmaps.
+    """
+    own = lists.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    still = keep(lists.join(keep(sets.join(own, "id")), "id"))
+    other = still.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "size", "bits", "keys")])
+    total, percent = F.col("size") + F.col("size_"), round(100 * ALIKE)
+    most = total - 2 * F.floor((percent * total + 99 + percent) / F.lit(100 + percent))
+    bit = lambda i: F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i))))
+    part = sum((bit(i) for i in range(1, 8)), bit(0))
+    whole = sum((bit(i) for i in range(8, BITS // 64)), part)
+    once = (F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("home")) | (F.col("id") < F.col("id_")))
+    first = F.array_min(F.array_intersect("keys", "keys_")) == F.col("s.key")
+    met = still.where("root <> home").alias("s").join(other.alias("t"), (F.col("s.key") == F.col("t.key")) & once & (part <= most) & (whole <= most) & first)
+    return met.select(*_pairs("id", "id_"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
