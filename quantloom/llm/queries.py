@@ -31,15 +31,16 @@ def _listed(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-_TEMPLATES = ", ".join(f"('{label}', {_listed(own)}, {licenses.need(len(own))})" for label, own in ((x, licenses.words_of(t)) for x, t in licenses.TEMPLATES))
+_TEMPLATES = ", ".join(f"({k}, '{label}', {_listed(own)}, {licenses.need(len(own))}, {licenses.width(t)})" for k, (label, t, own) in enumerate((x, t, licenses.words_of(t)) for x, t in licenses.TEMPLATES))
 _PLACES = [(label, " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split()))) for p, label in licenses.PHRASES.items()]
 
 _OP2 = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w, {_LOW} AS low FROM documents),
 p AS (SELECT doc_id, len(w) AS n_words, {", ".join(f"list_filter(range(1, len(w) + 1), lambda i: {test}) AS {label}" for label, test in _PLACES)} FROM d),
-l AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d),
-t(label, own, need) AS (VALUES {_TEMPLATES}),
-m AS (SELECT doc_id, label, len(list_intersect(list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')), own)) AS n, len(own) AS size, need FROM l, t),
+t(k, label, own, need, width) AS (VALUES {_TEMPLATES}),
+v AS (SELECT k, label, len(own) AS size, need, width, unnest(own) AS word FROM t),
+o AS (SELECT DISTINCT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+m AS (SELECT doc_id, label, size, need, count(DISTINCT word) OVER (PARTITION BY doc_id, k ORDER BY i RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS n FROM o JOIN v USING (word)),
 f AS (SELECT doc_id, list(DISTINCT label) AS found, max(n / size) AS share FROM m WHERE n >= need GROUP BY doc_id),
 j AS (SELECT p.*, found, share, list_concat(mit, apache, gpl) AS places, list_filter([CASE WHEN len(mit) > 0 THEN 'mit' END, CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END], lambda x: x IS NOT NULL) AS base
       FROM p LEFT JOIN f USING (doc_id))

@@ -74,18 +74,42 @@ def test_licenses(docs):
         at = {label: [j for j in range(len(words)) if words[j : j + len(p.split())] == p.split()] for p, label in licenses.PHRASES.items()}
         places, base = sum(at.values(), []), {x for x in at if at[x]}
         found, best = set(), 0.0
-        for line in (t or "").translate(LOW).split("\n"):
-            held = set(re.findall(ALNUM, line))
-            for label, template in licenses.TEMPLATES:
-                own = set(licenses.words_of(template))
-                if len(own & held) >= licenses.need(len(own)):
-                    found.add(label)
-                    best = max(best, len(own & held) / len(own))
+        for label, template in licenses.TEMPLATES:
+            own, wide = set(licenses.words_of(template)), licenses.width(template)
+            share = max((len(own & set(words[j : j + wide])) for j in range(len(words))), default=0)
+            if share >= licenses.need(len(own)):
+                found.add(label)
+                best = max(best, share / len(own))
         want.append((i, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), 1.0 if places else best))
     got = licenses.scan(docs)
     assert by_row(got, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score") == sorted(want, key=str)
 
 
+WRAPPED = {
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "mit": "// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the \"Software\"), to deal",
+    "apache": "# you may not use this file except in\n# compliance with the\n# License.",
+    "gpl": "This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General\n * Public\n * License as published by\n * the Free Software Foundation",
+}
+
+
+def test_wrapped_licenses_are_found_and_scattered_words_are_not(spark):
+    filler = "one two three four five six seven eight nine ten eleven twelve\n" * 40
+    rows = [(k, label, filler + text + "\n" + filler) for k, (label, text) in enumerate(WRAPPED.items())]
+    rows += [(9, "", "\n".join(" ".join([w, *["filler"] * 30]) for w in WRAPPED["bsd"].split())), (10, "", ""), (11, "", None)]
+    rows += [(12, "mit", WRAPPED["mit"] * 3000), (13, "bsd", "".join(WRAPPED["bsd"].split("\n")[0] + " \t\r\n" + WRAPPED["bsd"].split("\n")[1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, want string, text string").repartition(2)
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert {k: got[k]["labels"] for k, _, _ in rows} == {k: label for k, label, _ in rows}
+    assert all(got[k]["score"] >= 0.8 if label else got[k]["score"] == 0 for k, label, _ in rows)
+
+
+def test_license_templates_are_a_parameter(spark):
+    docs = spark.createDataFrame([(1, "all rights\nreserved by nobody"), (2, "rights of all")], "doc_id long, text string")
+    got = licenses.scan(docs, (("own", "All rights reserved"), ("two", "reserved rights"), ("one", "nobody")))
+    assert by_row(got, "labels") == [(1, "one,own,two"), (2, "")]
+
+
 def test_quality_counts_and_constant_model(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     judged = quality.judge(docs, quality.train(docs, none))
