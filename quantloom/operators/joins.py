@@ -3,11 +3,16 @@
 Event sources may hold any number of rows per symbol, so they are first aggregated to one row per
 (symbol, session), with map-side combine. After that a symbol holds at most one row per session on
 either side, and the as-of step, a union and one window per symbol, is bounded by the calendar.
+``attach_all`` unions all its sources with the panel, so the panel moves once, however many there are.
 Tables with one row per session or calendar day are broadcast: they do not grow with the data.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +29,14 @@ SHORT_INTEREST_LAG = 10
 SHORT_MAX_AGE = 40
 INST_MAX_AGE = 70
 
-
-def with_ordinal(panel: DataFrame, sessions: DataFrame) -> DataFrame:
-    return panel.join(F.broadcast(sessions), "date")
+#: Ordinals before the first and after the last session.
+BEFORE_ALL, AFTER_ALL = -1, 2**31 - 1
 
 
-def to_session(events: DataFrame, day: str, sessions: DataFrame, strict: bool, shift: int = 0) -> DataFrame:
+def to_session(events: DataFrame, day: str, sessions: DataFrame, strict: bool, shift: int = 0, late: bool = False) -> DataFrame:
     """Add ``ord`` (and ``session``) of the first session on or after ``day``, or strictly after it.
 
-    Events after the last session are dropped. ``shift`` moves the ordinal by further sessions.
+    Events after the last session are dropped, or with ``late`` kept behind it. ``shift`` moves the ordinal by further sessions.
     """
     days = events.select(C(day).alias("_day")).distinct()
     marks = days.select("_day", F.lit(None).cast("date").alias("date"), F.lit(None).cast("int").alias("ord"))
@@ -44,7 +48,9 @@ def to_session(events: DataFrame, day: str, sessions: DataFrame, strict: bool, s
         F.first("date", ignorenulls=True).over(ahead).alias("session"),
         F.first("ord", ignorenulls=True).over(ahead).alias("ord"),
     ).where(C("ord").isNotNull())
-    joined = events.join(F.broadcast(mapped), C(day) == C("_day")).drop("_day")
+    joined = events.join(F.broadcast(mapped), C(day) == C("_day"), "left" if late else "inner").drop("_day")
+    if late:
+        joined = joined.withColumn("ord", F.coalesce("ord", F.lit(AFTER_ALL)))
     return joined.withColumn("ord", C("ord") + shift) if shift else joined
 
 
@@ -66,21 +72,6 @@ def asof_join(left: DataFrame, right: DataFrame, at: str, cols: list[str], by: s
     return filled.select(*left.columns, C("_v._at").alias("at_right"), *[C(f"_v.{c}").alias(c) for c in cols])
 
 
-def asof_sessions(panel: DataFrame, events: DataFrame, cols: list[str], max_age: int, order: Column) -> DataFrame:
-    """As-of on the session ordinal with expiry: ``cols`` and ``age`` are null once older than ``max_age``."""
-    joined = asof_join(panel, latest_per_session(events, order), "ord", cols)
-    age = C("ord") - C("at_right")
-    fresh = age <= max_age
-    kept = joined.withColumns({c: F.when(fresh, C(c)) for c in cols} | {"age": F.when(fresh, age).cast("double")})
-    return kept.drop("at_right")
-
-
-def covered(panel: DataFrame, source: DataFrame) -> DataFrame:
-    """Flag the symbols that the source knows at all."""
-    known = source.select("symbol").distinct().withColumn("_covered", F.lit(True))
-    return panel.join(known, "symbol", "left").withColumn("_covered", F.coalesce("_covered", F.lit(False)))
-
-
 def known_until(sessions: DataFrame, source: DataFrame, day: str) -> Column:
     """The last session the source speaks for: the first one strictly after its last day, else no bound."""
     last = source.agg(F.max(day)).scalar()
@@ -88,24 +79,6 @@ def known_until(sessions: DataFrame, source: DataFrame, day: str) -> Column:
     return F.coalesce(after, F.lit(FAR).cast("date"))
 
 
-def attach_filings(panel: DataFrame, filings: DataFrame) -> DataFrame:
-    """Shares outstanding known since the session after the filing → market cap, turnover and filing age."""
-    sessions = session_table(panel)
-    events = to_session(filings, "filed", sessions, strict=False, shift=1)
-    rows = asof_sessions(
-        with_ordinal(panel, sessions), events.select("symbol", "ord", "filed", "shares_out"), ["shares_out"],
-        SHARES_MAX_AGE, F.struct("filed", "shares_out"),
-    )
-    made = rows.withColumns(
-        {
-            "marketcap": C("close") * C("shares_out") / 1e6,
-            "turnover": div(C("volume"), C("shares_out")),
-            "filing_days": C("age"),
-        }
-    )
-    return made.drop("age", "shares_out", "ord")
-
-
 def shares(panel: DataFrame) -> Column:
     """Shares outstanding implied by the market cap, null when that is absent, stale or not positive."""
     if "marketcap" not in panel.columns:
@@ -114,111 +87,226 @@ def shares(panel: DataFrame) -> Column:
     return F.when(implied > 0, implied)
 
 
+class Carried(NamedTuple):
+    """What a panel row knows of one source: its symbol's last event so far, and whether the source has the symbol at all."""
+
+    event: Column
+    age: Column
+    covered: Column
+
+    def within(self, name: str, max_age: int) -> Column:
+        """A column of the event, null once older than ``max_age`` sessions."""
+        return F.when(self.age <= max_age, self.event[name])
+
+    def today(self, name: str) -> Column:
+        """A column of the event if it landed on the row's own session."""
+        return self.within(name, 0)
+
+
+class Feed(NamedTuple):
+    """How a source joins: ``events`` reduces it to one row per (symbol, ord), ``columns`` reads the carried event.
+
+    ``day`` names the column that says how far the source reaches, if its columns end there.
+    """
+
+    events: Callable[[DataFrame, DataFrame], DataFrame]
+    columns: Callable[[DataFrame, Carried], dict[str, Column]]
+    day: str | None = None
+
+
+def _filing_events(filings: DataFrame, sessions: DataFrame) -> DataFrame:
+    landed = to_session(filings, "filed", sessions, strict=False, shift=1)
+    return latest_per_session(landed.select("symbol", "ord", "filed", "shares_out"), F.struct("filed", "shares_out"))
+
+
+def _filing_columns(rows: DataFrame, known: Carried) -> dict[str, Column]:
+    out = known.within("shares_out", SHARES_MAX_AGE)
+    return {
+        "marketcap": C("close") * out / 1e6,
+        "turnover": div(C("volume"), out),
+        "filing_days": F.when(known.age <= SHARES_MAX_AGE, known.age).cast("double"),
+    }
+
+
+def _news_events(news: DataFrame, sessions: DataFrame) -> DataFrame:
+    weighted = F.sum(C("tone") * C("articles")).alias("weighted")
+    return to_session(news, "day", sessions, strict=True).groupBy("symbol", "ord").agg(weighted, F.sum("articles").alias("articles"))
+
+
+def _news_columns(rows: DataFrame, known: Carried) -> dict[str, Column]:
+    articles = known.today("articles")
+    return {
+        "news_tone": F.when(articles > 0, known.today("weighted") / articles),
+        "news_articles": F.when(known.covered, F.coalesce(articles, F.lit(0.0))),
+    }
+
+
+_TRADES = ("buy_shares", "sell_shares", "n_buyers", "n_sellers")
+
+
+def _insider_events(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Trades after the last session have no row to land on, but their symbols are covered."""
+    landed = to_session(events, "filed", sessions, strict=True, late=True)
+    return landed.groupBy("symbol", "ord").agg(*[F.sum(c).alias(c) for c in _TRADES])
+
+
+def _insider_columns(rows: DataFrame, known: Carried) -> dict[str, Column]:
+    value = lambda c: F.when(known.covered, F.coalesce(known.today(c), F.lit(0.0)))
+    return {
+        "insider_buys": value("n_buyers"),
+        "insider_sells": value("n_sellers"),
+        "insider_net_frac": div(value("buy_shares") - value("sell_shares"), shares(rows)),
+    }
+
+
+def _short_interest_events(source: DataFrame, sessions: DataFrame) -> DataFrame:
+    landed = to_session(source, "settled", sessions, strict=False, shift=SHORT_INTEREST_LAG)
+    return latest_per_session(landed, F.struct("settled", "short_interest"))
+
+
+def _short_interest_columns(rows: DataFrame, known: Carried) -> dict[str, Column]:
+    return {
+        "days_to_cover": known.within("days_to_cover", SHORT_MAX_AGE),
+        "short_ratio": div(known.within("short_interest", SHORT_MAX_AGE), shares(rows)),
+    }
+
+
+def _fundamental_events(source: DataFrame, sessions: DataFrame) -> DataFrame:
+    cols = [c for c in source.columns if c not in ("symbol", "filed")]
+    return latest_per_session(to_session(source, "filed", sessions, strict=False, shift=1), F.struct("filed", *cols))
+
+
+def _fundamental_columns(rows: DataFrame, known: Carried) -> dict[str, Column]:
+    v = lambda c: known.within(c, FUNDAMENTALS_MAX_AGE)
+    cap = C("marketcap") * 1e6 if "marketcap" in rows.columns else F.lit(None).cast("double")
+    ratio = lambda a, b: F.when(b > 0, a / b)
+    debt = F.when(v("assets") > 0, F.coalesce(v("ltdebt"), F.lit(0.0))).otherwise(v("ltdebt"))
+    research = F.when(v("revenue_ttm").isNotNull(), F.coalesce(v("rd_ttm"), F.lit(0.0))).otherwise(v("rd_ttm"))
+    return {
+        "book_to_market": ratio(v("equity"), cap),
+        "earnings_yield": ratio(v("ni_ttm"), cap),
+        "sales_to_price": ratio(v("revenue_ttm"), cap),
+        "gross_profitability": ratio(v("gp_ttm"), v("assets")),
+        "roe": ratio(v("ni_ttm"), v("equity")),
+        "asset_growth": ratio(v("assets"), v("assets_1y")) - 1,
+        "accruals": ratio(v("ni_ttm") - v("ocf_ttm"), v("assets")),
+        "leverage": ratio(debt, v("assets")),
+        "cash_to_assets": ratio(v("cash"), v("assets")),
+        "rd_to_sales": ratio(research, v("revenue_ttm")),
+        "capex_to_assets": ratio(v("capex_ttm"), v("assets")),
+        "op_margin": ratio(v("opinc_ttm"), v("revenue_ttm")),
+    }
+
+
+def _short_volume_events(source: DataFrame, sessions: DataFrame) -> DataFrame:
+    return latest_per_session(to_session(source, "day", sessions, strict=True), F.struct("day", "short_ratio_day"))
+
+
+def _institution_events(source: DataFrame, sessions: DataFrame) -> DataFrame:
+    landed = to_session(source, "usable_from", sessions, strict=True)
+    return latest_per_session(landed, F.struct("usable_from", "inst_shares", "inst_holders", "inst_top5"))
+
+
+def _institution_columns(rows: DataFrame, known: Carried) -> dict[str, Column]:
+    return {
+        "inst_holders": known.within("inst_holders", INST_MAX_AGE),
+        "inst_top5": known.within("inst_top5", INST_MAX_AGE),
+        "inst_own": div(known.within("inst_shares", INST_MAX_AGE), shares(rows)),
+    }
+
+
+def _page_view_events(source: DataFrame, sessions: DataFrame) -> DataFrame:
+    return to_session(source, "day", sessions, strict=True).groupBy("symbol", "ord").agg(F.sum("views").alias("views"))
+
+
+def _sector_events(table: DataFrame, sessions: DataFrame) -> DataFrame:
+    return table.groupBy("symbol").agg(F.min("sector").alias("sector")).withColumn("ord", F.lit(BEFORE_ALL))
+
+
+#: Sources in the order in which their columns are made: those that need shares outstanding come after the filings.
+FEEDS = {
+    "filings": Feed(_filing_events, _filing_columns),
+    "news": Feed(_news_events, _news_columns),
+    "insiders": Feed(_insider_events, _insider_columns, "filed"),
+    "short_interest": Feed(_short_interest_events, _short_interest_columns),
+    "fundamentals": Feed(_fundamental_events, _fundamental_columns),
+    "short_volume": Feed(_short_volume_events, lambda rows, known: {"short_vol_ratio": known.today("short_ratio_day")}, "day"),
+    "institutions": Feed(_institution_events, _institution_columns),
+    "page_views": Feed(_page_view_events, lambda rows, known: {"wiki_views": known.today("views")}, "day"),
+    "sector": Feed(_sector_events, lambda rows, known: {"sector": F.coalesce(known.event["sector"], F.lit("Unknown"))}),
+}
+
+
+def attach_all(panel: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
+    """Apply every source that is present, in a fixed order; an absent source leaves its columns out.
+
+    Each source is reduced to one event per (symbol, session); the union of all of them with the panel is dealt by symbol
+    and sorted once, and one carry per source fills the rows. A source with ``day`` says nothing past its last day: its
+    columns are null there. Events without a symbol are nobody's; rows without a date know none.
+    """
+    feeds = {name: feed for name, feed in FEEDS.items() if name in sources}
+    sessions = session_table(panel.where(C("date").isNotNull()))
+    rows = panel.join(F.broadcast(sessions.withColumnRenamed("ord", "_ord")), "date", "left").withColumn("_side", F.lit(1))
+    parts = [rows]
+    for name, feed in feeds.items():
+        events = feed.events(sources[name].where(C("symbol").isNotNull()), sessions)
+        held = [c for c in events.columns if c not in ("symbol", "ord")]
+        parts.append(events.select("symbol", C("ord").alias("_ord"), F.lit(0).alias("_side"), F.struct(C("ord").alias("at"), *held).alias(f"_{name}")))
+    both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    whole = Window.partitionBy("symbol")
+    upto = whole.orderBy("_ord", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumns(
+        {f"_{n}": F.last(f"_{n}", ignorenulls=True).over(upto) for n in feeds}
+        | {f"_has_{n}": (F.count(f"_{n}").over(whole) > 0) for n in feeds}
+    ).where(C("_side") == 1)
+    out = filled.withColumns({f"_end_{n}": known_until(sessions, sources[n], f.day) for n, f in feeds.items() if f.day})
+    for name, feed in feeds.items():
+        made = feed.columns(out, Carried(C(f"_{name}"), C("_ord") - C(f"_{name}.at"), C(f"_has_{name}")))
+        if feed.day:
+            made = {c: F.when(C("date") <= C(f"_end_{name}"), v) for c, v in made.items()}
+        out = out.withColumns(made)
+    hidden = {"_ord", "_side"} | {f"{p}{n}" for n in feeds for p in ("_", "_has_", "_end_")}
+    return out.select(*[c for c in out.columns if c not in hidden])
+
+
+def attach_filings(panel: DataFrame, filings: DataFrame) -> DataFrame:
+    """Shares outstanding known since the session after the filing → market cap, turnover and filing age."""
+    return attach_all(panel, {"filings": filings})
+
+
 def attach_news(panel: DataFrame, news: DataFrame) -> DataFrame:
     """News of calendar days on the next session: article-weighted tone; quiet is 0, unknown symbols are null."""
-    sessions = session_table(panel)
-    landed = to_session(news, "day", sessions, strict=True)
-    daily = landed.groupBy("symbol", C("session").alias("date")).agg(
-        F.sum(C("tone") * C("articles")).alias("_w"), F.sum("articles").alias("news_articles")
-    )
-    rows = covered(panel, landed).join(daily, ["symbol", "date"], "left")
-    return rows.withColumns(
-        {
-            "news_tone": F.when(C("news_articles") > 0, C("_w") / C("news_articles")),
-            "news_articles": F.when(C("_covered"), F.coalesce("news_articles", F.lit(0.0))),
-        }
-    ).drop("_w", "_covered")
+    return attach_all(panel, {"news": news})
 
 
 def attach_insiders(panel: DataFrame, events: DataFrame) -> DataFrame:
     """Insider trades on the next session; zero while covered and quiet, null past the source's last day."""
-    sessions = session_table(panel)
-    landed = to_session(events, "filed", sessions, strict=True)
-    sums = ["buy_shares", "sell_shares", "n_buyers", "n_sellers"]
-    daily = landed.groupBy("symbol", C("session").alias("date")).agg(*[F.sum(c).alias(c) for c in sums])
-    limit = known_until(sessions, events, "filed")
-    rows = covered(panel, events).join(daily, ["symbol", "date"], "left").withColumn("_limit", limit)
-    value = lambda c: F.when(C("_covered") & (C("date") <= C("_limit")), F.coalesce(C(c), F.lit(0.0)))
-    return rows.withColumns(
-        {
-            "insider_buys": value("n_buyers"),
-            "insider_sells": value("n_sellers"),
-            "insider_net_frac": div(value("buy_shares") - value("sell_shares"), shares(rows)),
-        }
-    ).drop(*sums, "_covered", "_limit")
+    return attach_all(panel, {"insiders": events})
 
 
 def attach_short_interest(panel: DataFrame, source: DataFrame) -> DataFrame:
     """Short interest is public ten sessions after settlement and lives forty."""
-    sessions = session_table(panel)
-    events = to_session(source, "settled", sessions, strict=False, shift=SHORT_INTEREST_LAG)
-    rows = asof_sessions(
-        with_ordinal(panel, sessions), events, ["short_interest", "days_to_cover"], SHORT_MAX_AGE,
-        F.struct("settled", "short_interest"),
-    )
-    return rows.withColumn("short_ratio", div(C("short_interest"), shares(rows))).drop("short_interest", "age", "ord")
+    return attach_all(panel, {"short_interest": source})
 
 
 def attach_fundamentals(panel: DataFrame, source: DataFrame) -> DataFrame:
     """Twelve accounting ratios from the last filing, null unless the denominator is positive."""
-    sessions = session_table(panel)
-    cols = [c for c in source.columns if c not in ("symbol", "filed")]
-    events = to_session(source, "filed", sessions, strict=False, shift=1)
-    rows = asof_sessions(
-        with_ordinal(panel, sessions), events, cols, FUNDAMENTALS_MAX_AGE, F.struct("filed", *cols)
-    )
-    cap = C("marketcap") * 1e6 if "marketcap" in panel.columns else F.lit(None).cast("double")
-    ratio = lambda a, b: F.when(b > 0, a / b)
-    debt = F.when(C("assets") > 0, F.coalesce("ltdebt", F.lit(0.0))).otherwise(C("ltdebt"))
-    research = F.when(C("revenue_ttm").isNotNull(), F.coalesce("rd_ttm", F.lit(0.0))).otherwise(C("rd_ttm"))
-    made = rows.withColumns(
-        {
-            "book_to_market": ratio(C("equity"), cap),
-            "earnings_yield": ratio(C("ni_ttm"), cap),
-            "sales_to_price": ratio(C("revenue_ttm"), cap),
-            "gross_profitability": ratio(C("gp_ttm"), C("assets")),
-            "roe": ratio(C("ni_ttm"), C("equity")),
-            "asset_growth": ratio(C("assets"), C("assets_1y")) - 1,
-            "accruals": ratio(C("ni_ttm") - C("ocf_ttm"), C("assets")),
-            "leverage": ratio(debt, C("assets")),
-            "cash_to_assets": ratio(C("cash"), C("assets")),
-            "rd_to_sales": ratio(research, C("revenue_ttm")),
-            "capex_to_assets": ratio(C("capex_ttm"), C("assets")),
-            "op_margin": ratio(C("opinc_ttm"), C("revenue_ttm")),
-        }
-    )
-    return made.drop(*cols, "age", "ord")
+    return attach_all(panel, {"fundamentals": source})
 
 
 def attach_short_volume(panel: DataFrame, source: DataFrame) -> DataFrame:
     """The short-volume ratio of the last session; the latest day wins when several land on one."""
-    sessions = session_table(panel)
-    landed = to_session(source, "day", sessions, strict=True)
-    last = latest_per_session(landed, F.struct("day", "short_ratio_day"))
-    daily = last.select("symbol", C("session").alias("date"), C("short_ratio_day").alias("short_vol_ratio"))
-    rows = panel.join(daily, ["symbol", "date"], "left").withColumn("_limit", known_until(sessions, landed, "day"))
-    return rows.withColumn("short_vol_ratio", F.when(C("date") <= C("_limit"), C("short_vol_ratio"))).drop("_limit")
+    return attach_all(panel, {"short_volume": source})
 
 
 def attach_institutions(panel: DataFrame, source: DataFrame) -> DataFrame:
     """Quarterly holdings, usable strictly after the filing deadline, carried seventy sessions."""
-    sessions = session_table(panel)
-    cols = ["inst_shares", "inst_holders", "inst_top5"]
-    events = to_session(source, "usable_from", sessions, strict=True)
-    rows = asof_sessions(with_ordinal(panel, sessions), events, cols, INST_MAX_AGE, F.struct("usable_from", *cols))
-    return rows.withColumn("inst_own", div(C("inst_shares"), shares(rows))).drop("inst_shares", "age", "ord")
+    return attach_all(panel, {"institutions": source})
 
 
 def attach_page_views(panel: DataFrame, source: DataFrame) -> DataFrame:
     """Views summed onto the next session, null before the first observation and past the last day."""
-    sessions = session_table(panel)
-    landed = to_session(source, "day", sessions, strict=True)
-    daily = landed.groupBy("symbol", C("session").alias("date")).agg(F.sum("views").alias("wiki_views"))
-    first = landed.groupBy("symbol").agg(F.min("session").alias("_first"))
-    rows = panel.join(daily, ["symbol", "date"], "left").join(first, "symbol", "left")
-    rows = rows.withColumn("_limit", known_until(sessions, landed, "day"))
-    seen = (C("date") >= C("_first")) & (C("date") <= C("_limit"))
-    return rows.withColumn("wiki_views", F.when(seen, C("wiki_views"))).drop("_first", "_limit")
+    return attach_all(panel, {"page_views": source})
 
 
 def sector_table(primary: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -231,25 +319,6 @@ def attach_sector(panel: DataFrame, table: DataFrame) -> DataFrame:
     return panel.join(table, "symbol", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
 
 
-def attach_all(panel: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
-    """Apply every source that is present, in a fixed order; an absent source leaves its columns out."""
-    steps = {
-        "filings": attach_filings,
-        "news": attach_news,
-        "insiders": attach_insiders,
-        "short_interest": attach_short_interest,
-        "fundamentals": attach_fundamentals,
-        "short_volume": attach_short_volume,
-        "institutions": attach_institutions,
-        "page_views": attach_page_views,
-        "sector": attach_sector,
-    }
-    for name, step in steps.items():
-        if name in sources:
-            panel = panel.transform(step, sources[name])
-    return panel
-
-
 def inside_intervals(panel: DataFrame, intervals: DataFrame) -> DataFrame:
     """Rows whose date lies in a half-open [start, end) interval of their symbol; a null end is open."""
     ends = intervals.select(

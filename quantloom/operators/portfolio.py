@@ -200,21 +200,42 @@ def decompose(risk: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
+def trailing_moments(x: Column, y: Column, keys: list[str], order: str, window: int) -> tuple[Column, Column]:
+    """Count and sample covariance of x and y over the ``window`` positions of ``order`` before a row, which it leaves out.
+
+    Sums up to the row less sums up to the window's start: each is one running total, whatever the window. Positions are
+    unique within the keys. Pairs with a null or NaN are left out. x and y should lie near 0, as returns do.
+    """
+    both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    rows = Window.partitionBy(*keys).orderBy(order)
+    before, old = rows.rowsBetween(Window.unboundedPreceding, -1), rows.rangeBetween(Window.unboundedPreceding, -window - 1)
+
+    def total(v: Column) -> Column:
+        kept = F.when(both, v).otherwise(F.lit(0).cast("double"))
+        return F.coalesce(F.sum(kept).over(before), F.lit(0.0)) - F.coalesce(F.sum(kept).over(old), F.lit(0.0))
+
+    n = total(F.lit(1.0))
+    return n, F.when(n > 1, (total(x * y) - total(x) * total(y) / n) / (n - 1))
+
+
 def vol_forecast(risk: DataFrame, weights: DataFrame, window: int, min_periods: int) -> DataFrame:
     """Annualised ex-ante volatility per date from trailing factor covariances and residual variances.
 
-    Factors are the market and the sectors, so a date has a few dozen factor pairs whatever the data.
+    Factors are the market and the sectors, so a session is one row with a few dozen factors, and its pairs are made from
+    that row: a pair's covariance is a difference of running totals.
     """
-    market = risk.select("date", "ord", F.lit("MKT").alias("f"), C("market").alias("v")).dropDuplicates(["date"])
-    sector = risk.groupBy("date", "ord", C("sector").alias("f")).agg(F.max("sector_ret").alias("v"))
-    series = market.unionByName(sector)
-    right = series.select("ord", C("f").alias("g"), C("v").alias("u"))
-    pairs = series.join(right, "ord")
-    before = Window.partitionBy("f", "g").orderBy("ord").rangeBetween(-window, -1)
-    cov = F.when(F.count("v").over(before) >= min_periods, F.covar_samp("v", "u").over(before))
-    covs = pairs.select("date", "f", "g", cov.alias("c"))
-    past = Window.partitionBy("symbol").orderBy("ord").rangeBetween(-window, -1)
-    idio = F.when(F.count("eps").over(past) >= min_periods, F.var_samp("eps").over(past))
+    by_sector = risk.groupBy("date", "ord", "sector").agg(F.max("sector_ret").alias("v"), F.max("market").alias("m"))
+    listed = F.collect_list(F.when(C("sector").isNotNull(), F.struct(C("sector").alias("f"), "v")))
+    market = F.array(F.struct(F.lit("MKT").alias("f"), F.max("m").alias("v")))
+    sessions = by_sector.groupBy("date", "ord").agg(F.concat(market, listed).alias("fs"))
+    first = sessions.select("date", "ord", "fs", F.explode("fs").alias("a"))
+    pairs = first.select("date", "ord", C("a.f").alias("f"), C("a.v").alias("v"), F.explode("fs").alias("b")).select(
+        "date", "ord", "f", "v", C("b.f").alias("g"), C("b.v").alias("u")
+    ).where(C("f") <= C("g"))
+    n, cov = trailing_moments(C("v"), C("u"), ["f", "g"], "ord", window)
+    covs = pairs.select("date", "f", "g", F.when(n >= min_periods, cov).alias("c"), F.when(C("f") == C("g"), 1).otherwise(2).alias("times"))
+    n, var = trailing_moments(C("eps"), C("eps"), ["symbol"], "ord", window)
+    idio = F.when(n >= min_periods, F.greatest(var, F.lit(0.0)))
     held = weights.join(risk.withColumn("iv", idio), ["date", "symbol"])
     day = Window.partitionBy("date")  # a book, a few names
     fill = F.coalesce(F.percentile("iv", F.lit(0.5)).over(day), F.lit(0.0004))
@@ -225,7 +246,7 @@ def vol_forecast(risk: DataFrame, weights: DataFrame, window: int, min_periods:
     other = expo.select("date", C("f").alias("g"), C("x").alias("y"))
     systematic = (
         covs.join(expo, ["date", "f"]).join(other, ["date", "g"]).groupBy("date")
-        .agg(F.sum(C("c") * C("x") * C("y")).alias("_s"), F.count_if(C("c").isNull()).alias("_gaps"))
+        .agg(F.sum(C("c") * C("times") * C("x") * C("y")).alias("_s"), F.count_if(C("c").isNull()).alias("_gaps"))
     )
     own = held.groupBy("date").agg(F.sum(C("weight") * C("weight") * C("_iv")).alias("_i"))
     total = C("_s") + C("_i")

@@ -134,7 +134,7 @@ INSIDERS = """, ie AS (SELECT * FROM gt WHERE day < DATE '2000-06-01'),
     d="date",
 )
 def attach_form4(t):
-    rows = jn.attach_insiders(jn.attach_filings(weekday_bars(t), filings(t)), insiders(t))
+    rows = jn.attach_all(weekday_bars(t), {"filings": filings(t), "insiders": insiders(t)})
     return rows.select(
         "symbol", "date", "insider_buys", "insider_sells", (C("insider_net_frac") * 1e6).alias("insider_net_ppm")
     )
@@ -158,7 +158,7 @@ def short_interest(t):
     d="date",
 )
 def attach_short_interest(t):
-    rows = jn.attach_short_interest(jn.attach_filings(weekday_bars(t), filings(t)), short_interest(t))
+    rows = jn.attach_all(weekday_bars(t), {"filings": filings(t), "short_interest": short_interest(t)})
     return rows.select("symbol", "date", "short_ratio", "days_to_cover")
 
 
@@ -210,7 +210,7 @@ _FUND_SQL = (
 
 @query("attach_fundamentals", _FUND_SQL, q=" ".join([*_RATIOS, "asset_growth"]), d="date")
 def attach_fundamentals(t):
-    rows = jn.attach_fundamentals(jn.attach_filings(weekday_bars(t), filings(t)), fundamentals(t))
+    rows = jn.attach_all(weekday_bars(t), {"filings": filings(t), "fundamentals": fundamentals(t)})
     return rows.select("symbol", "date", *_RATIOS, "asset_growth")
 
 
@@ -251,7 +251,7 @@ def institutions(t):
     d="date",
 )
 def attach_form13f(t):
-    rows = jn.attach_institutions(jn.attach_filings(weekday_bars(t), filings(t)), institutions(t))
+    rows = jn.attach_all(weekday_bars(t), {"filings": filings(t), "institutions": institutions(t)})
     return rows.select("symbol", "date", "inst_own", "inst_holders", "inst_top5")
 
 
