@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Window
@@ -320,7 +321,31 @@ def candidate_builders(t):
 # -- options and calendar ------------------------------------------------------------------------------
 
 
-@query("implied_vol_job")
+def _tail_sql(z: str, far: str) -> str:
+    """P(Z > z·√2) as DuckDB text: the series near 0, elsewhere the rule of ``functions.normal`` at ``far`` = |z| within [0.5, 40]."""
+    series = " + ".join(f"{(-1) ** n / (math.factorial(n) * (2 * n + 1))!r} * pow({z}, {2 * n + 1})" for n in range(14))
+    nodes = " + ".join(f"{2 * math.exp(-((k / 2) ** 2))!r} / ({(k / 2) ** 2!r} + {far} * {far})" for k in range(1, 14))
+    pole = f"CASE WHEN {far} < 2 * pi() THEN 2 / (exp(4 * pi() * {far}) - 1) ELSE 0 END"
+    rule = f"(0.5 * {far} * exp(-{far} * {far}) / pi() * (1 / ({far} * {far}) + {nodes}) - {pole})"
+    return f"0.5 * CASE WHEN abs({z}) < 0.5 THEN 1 - 2 / sqrt(pi()) * ({series}) WHEN {z} > 0 THEN {rule} ELSE 2 - {rule} END"
+
+
+_QUOTES = "l_orderkey, l_linenumber, spot, strike, years, quote, call"
+_IV_SQL = f"""WITH RECURSIVE q AS (SELECT l_orderkey, l_linenumber, p_retailprice::DOUBLE AS spot, p_retailprice::DOUBLE * (0.9 + l_discount * 2)::DOUBLE AS strike,
+    l_quantity::DOUBLE / 50 AS years, p_retailprice::DOUBLE * (0.02 + l_tax)::DOUBLE AS quote, l_returnflag = 'A' AS call FROM lineitem JOIN part ON l_partkey = p_partkey),
+  v AS (SELECT *, strike * exp(-0.02::DOUBLE * years) AS paid, CASE WHEN call THEN 1::DOUBLE ELSE -1::DOUBLE END AS side FROM q),
+  h AS (SELECT *, quote > greatest(0::DOUBLE, side * (spot - paid)) + 1e-6 AND years > 0 AS ok, 0 AS step, 0.01::DOUBLE AS low, 5::DOUBLE AS high FROM v
+    UNION ALL
+    SELECT {_QUOTES}, paid, side, ok, step + 1, CASE WHEN above THEN low ELSE mid END, CASE WHEN above THEN mid ELSE high END FROM (
+      SELECT *, side * (spot * ({_tail_sql("z1", "f1")}) - paid * ({_tail_sql("z2", "f2")})) > quote AS above FROM (
+        SELECT *, least(greatest(abs(z1), 0.5::DOUBLE), 40::DOUBLE) AS f1, least(greatest(abs(z2), 0.5::DOUBLE), 40::DOUBLE) AS f2 FROM (
+          SELECT *, -side * d1 / sqrt(2) AS z1, -side * (d1 - mid * sqrt(years)) / sqrt(2) AS z2 FROM (
+            SELECT *, (ln(spot / strike) + (0.02::DOUBLE + mid * mid / 2) * years) / (mid * sqrt(years)) AS d1 FROM (
+              SELECT *, (low + high) / 2 AS mid FROM h WHERE ok AND step < 60))))))
+  SELECT {_QUOTES.removesuffix("call")} CAST(call AS INTEGER) AS call, CASE WHEN ok THEN (low + high) / 2 END AS iv FROM h WHERE NOT ok OR step = 60"""
+
+
+@query("implied_vol_job", _IV_SQL, q="iv spot strike years quote")
 def implied_vol_job(t):
     """One quote per line item: strike around the part's price, premium a share of it."""
     l = t.lineitem.join(t.part, C("l_partkey") == C("p_partkey"))
