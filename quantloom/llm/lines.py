@@ -141,19 +141,21 @@ def similar_lines(docs: DataFrame, kinds: DataFrame) -> DataFrame:
 def _outside(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v), once: entries of different components in one bucket, one of them not at home, whose bitmaps allow them to be alike.
 
-    A pair is listed in the first bucket that both are in. Unlike pairs mostly fall by the first part of their bitmaps.
+    A pair is listed in the first bucket that both are in. Unlike pairs mostly fall by their sizes or the first part of their bitmaps.
     """
     own = lists.groupBy("id").agg(F.collect_set("key").alias("keys"))
     still = keep(lists.join(keep(sets.join(own, "id")), "id"))
     other = still.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "size", "bits", "keys")])
     total, percent = F.col("size") + F.col("size_"), round(100 * ALIKE)
     most = total - 2 * F.floor((percent * total + 99 + percent) / F.lit(100 + percent))
+    near = percent * F.greatest("size", "size_") <= 100 * F.least("size", "size_")
     bit = lambda i: F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i))))
     part = sum((bit(i) for i in range(1, 8)), bit(0))
-    whole = sum((bit(i) for i in range(8, BITS // 64)), part)
+    # over the arrays, not written out: code of 64 terms is too long to be compiled by the JVM
+    whole = F.aggregate(F.zip_with("bits", "bits_", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     once = (F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("home")) | (F.col("id") < F.col("id_")))
     first = F.array_min(F.array_intersect("keys", "keys_")) == F.col("s.key")
-    met = still.where("root <> home").alias("s").join(other.alias("t"), (F.col("s.key") == F.col("t.key")) & once & (part <= most) & (whole <= most) & first)
+    met = still.where("root <> home").alias("s").join(other.alias("t"), (F.col("s.key") == F.col("t.key")) & once & near & (part <= most) & (whole <= most) & first)
     return met.select(*_pairs("id", "id_"))
 
 
