@@ -1,30 +1,29 @@
 """Exact ranks and percentiles of groups of any size.
 
 A window over a whole group sorts that group in one task. These forms never do: equal values are
-first counted together, the distinct values of a group are cut into buckets at approximate
-quantiles, each bucket is ranked on its own, and the bucket totals (a few hundred rows per group)
-give the offset. The cut points decide only how even the buckets are, never the result.
+first counted together, the distinct values are dealt in ranges of (group, value) to so many
+partitions that each holds about ``BUCKET_ROWS`` of them, the part of a group in one partition is
+ranked on its own, and the totals of the parts before it, one row a part, give the offset. The
+ranges decide only how even the parts are, never the result.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+from quantloom.session import cut
 
+#: Distinct values that one task ranks, on average; the number of parts grows with the data, their size does not.
+BUCKET_ROWS = 1_000_000
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+
+def value_ranks(df: DataFrame, keys: list[str], value: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per (keys, value), nulls left out: ``n`` copies, ``less`` smaller values, ``total`` in the group."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    coded = counted.withColumn("_rank_code", _code(counted, value))
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = coded.groupBy(*keys).agg(F.percentile_approx("_rank_code", shares, 1000).alias("_cuts"))
-    joined = _equi(coded, cuts, keys)
-    bucketed = joined.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_rank_code")))).drop("_cuts", "_rank_code")
-    totals = bucketed.groupBy(*keys, "_b").agg(F.sum("n").alias("_t"))
+    dealt = in_ranges(df, keys, value, bucket_rows)
+    totals = dealt.groupBy(*keys, "_b").agg(F.sum("n").alias("_t"))
     over = Window.partitionBy(*keys).orderBy("_b")
     offsets = totals.select(
         *keys,
@@ -33,32 +32,18 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKE
         F.sum("_t").over(Window.partitionBy(*keys)).alias("total"),
     )
     inside = Window.partitionBy(*keys, "_b").orderBy(value)
-    ranked = bucketed.withColumn("_in", F.sum("n").over(inside) - F.col("n"))
-    return _equi(ranked, offsets, [*keys, "_b"]).select(
+    ranked = dealt.withColumn("_in", F.sum("n").over(inside) - F.col("n"))
+    return null_safe(ranked, offsets, [*keys, "_b"], "inner").select(
         *keys, value, "n", (F.col("_before") + F.col("_in")).alias("less"), "total"
     )
 
 
-def _code(counted: DataFrame, value: str) -> Column:
-    """A number that never falls as ``value`` rises, to cut buckets by; the ranks themselves use ``value``."""
-    kind, v = dict(counted.dtypes)[value], F.col(value)
-    if kind == "date":
-        return F.unix_date(v)
-    if kind == "string":
-        # six bytes after the prefix that the smallest and the largest value share
-        ends = counted.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-        lengths = F.sequence(F.lit(1), F.greatest(F.length("lo"), F.lit(1)))
-        alike = F.filter(lengths, lambda i: F.substr(F.col("lo"), F.lit(1), i) == F.substr(F.col("hi"), F.lit(1), i))
-        prefix = ends.select(F.coalesce(F.array_max(alike), F.lit(0))).scalar()
-        return F.conv(F.rpad(F.hex(F.substr(v, prefix + 1)), 12, "0"), 16, 10).cast("double")
-    return v.cast("double") if kind == "boolean" else v
-
-
-def _equi(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on ``keys``, null keys equal; with no keys the right side is the single row of a global aggregate."""
-    if keys:
-        return null_safe(left, right, keys, "inner")
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), ["_one"]).drop("_one")
+def in_ranges(df: DataFrame, keys: list[str], value: str, bucket_rows: int) -> DataFrame:
+    """The different (keys, value) with ``n``, their copies, and ``_b``, the range that each is in."""
+    counted = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
+    parts = -(-counted.count() // bucket_rows) or 1
+    # stored, as ranges come from a sample and all that is built on them must see the same ones
+    return cut(counted.repartitionByRange(parts, *keys, value).withColumn("_b", F.spark_partition_id()))
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -100,3 +100,28 @@ def test_rank_ic_of_planted_signals(spark, split_mode):
     assert ev.daily_rank_ic(df, "good", "y", 20).agg(F.min("ic")).first()[0] == pytest.approx(1.0)
     assert ev.daily_rank_ic(df, "bad", "y", 20).agg(F.max("ic")).first()[0] == pytest.approx(-1.0)
     assert ev.daily_rank_ic(df, "good", "y", 31).count() == 0
+
+
+@pytest.mark.parametrize("bucket_rows", [7, 100, 10_000])
+def test_parts_bounded_in_rows(spark, skewed, bucket_rows):
+    """Groups in many parts and in one, null keys, text and numbers: the ranks are those of a plain sort."""
+    pdf = skewed.assign(date=[None if i % 11 == 0 else d for i, d in enumerate(skewed["date"])], name=[f"n{v:+.2f}" for v in skewed["x"]])
+    for value in ("x", "name"):
+        got = ranking.value_ranks(frame(spark, pdf), ["date"], value, bucket_rows)
+        rows = {(r["date"], r[value]): (r["n"], r["less"], r["total"]) for r in got.collect()}
+        own = pdf[pdf[value].notna()]
+        want = {}
+        for day, values in own.groupby("date", dropna=False)[value]:
+            held = sorted(values)
+            want.update({(None if pd.isna(day) else day, v): (held.count(v), sum(h < v for h in held), len(held)) for v in set(held)})
+        assert rows == want
+    assert ranking.value_ranks(frame(spark, pdf).where("false"), ["date"], "x", bucket_rows).count() == 0
+
+
+def test_part_sizes(spark):
+    """One group of 200,000 values in parts of about 10,000: no task of the ranking holds more than three times that."""
+    df = spark.range(200_000).select(F.xxhash64("id").alias("x"))
+    parts = ranking.in_ranges(df, [], "x", 10_000).groupBy("_b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("_b").collect()
+    assert len(parts) == 20 and max(r["n"] for r in parts) <= 30_000
+    assert all(one["hi"] < two["lo"] for one, two in zip(parts, parts[1:]))
+    assert ranking.value_ranks(df, [], "x", 10_000).agg(F.sum("less")).first()[0] == 200_000 * 199_999 // 2
