@@ -77,3 +77,15 @@ def test_values_late_events_and_rows_without_keys(spark, panel, sources):
     nobody = got[None, day(4)]
     assert nobody["marketcap"] is None and nobody["news_articles"] is None and nobody["sector"] == "Unknown"
     assert got[1, None]["marketcap"] is None and got[1, None]["wiki_views"] is None
+
+
+def test_announcement_reacts_on_the_next_session(spark, panel):
+    surprises = [(1, day(10), 250.0), (1, day(10), 3.0), (None, day(4), 9.0), (3, day(500), 1.0)]
+    told = spark.createDataFrame(surprises, "symbol long, day date, surprise double")
+    got = {(r["symbol"], r["date"]): r for r in jn.pead(panel, told).collect()}
+    before, first, later = (got[1, day(k)] for k in (10, 12, 14))
+    assert (before["days_since_earn"], before["last_surprise"], before["ear_react"]) == (90.0, 0.0, 0.0)
+    move = (11 + 12 / 7) / (11 + 8 / 7) - 1
+    assert (first["days_since_earn"], first["last_surprise"]) == (1.0, 3.0) and first["ear_react"] == pytest.approx(move)
+    assert later["surprise_decay"] == pytest.approx(3.0 * 2.718281828459045**-0.1)
+    assert {got[k]["last_surprise"] for k in got if k[0] != 1} == {0.0}
