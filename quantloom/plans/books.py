@@ -76,7 +76,7 @@ def mcap_rank(t):
     )
     lagged = ends.withColumn("day", F.date_sub("date", 45))
     caps = asof_join(lagged, shares, "day", ["shares"]).select("symbol", C("month").alias("date"), (C("close") * C("shares")).alias("cap"))
-    p = Panel(caps.where(C("cap").isNotNull()), t.rows("lineitem"))
+    p = Panel(caps.where(C("cap").isNotNull()), t.day_rows("lineitem"))
     place = p.place(C("cap"), descending=True)
     return p.df.select("symbol", C("date").alias("month"), "cap", place.cast("long").alias("rank"))
 

@@ -468,7 +468,7 @@ def monthly_ranks(t):
     from quantloom.operators.panel import Panel
 
     m = t.long_bars().groupBy("symbol", F.last_day("date").alias("date")).agg(F.sum("volume").alias("volume"))
-    p = Panel(m, t.rows("lineitem"))
+    p = Panel(m, t.day_rows("lineitem"))
     place = p.place(C("volume"), descending=True)
     return p.df.select("symbol", "date", place.alias("rank"))
 
