@@ -1,12 +1,16 @@
 """Window operators against pandas, and their causality."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.operators import indicators as ind
 from quantloom.operators.alphas import ALPHAS
 from quantloom.operators.panel import Panel
+from quantloom.plans.registry import Tables
 
 
 def make_bars(symbols=4, days=300, seed=0):
@@ -137,3 +141,66 @@ def test_psar_matches_a_plain_loop(spark, bars):
         return np.array(sar) * 10 + np.array(way)
 
     np.testing.assert_allclose(got.psar * 10 + got.direction, by_symbol(bars, loop), rtol=1e-12)
+
+
+@pytest.fixture(scope="module")
+def gappy(bars):
+    """Missing values, flat stretches and a level far above the moves."""
+    made = bars.assign(close=bars.close + 1e5, x=bars.volume.where(bars.index % 7 != 3), y=bars.high)
+    made.loc[40:120, "close"] = 123456.1
+    made.loc[450:520, "x"] = np.nan
+    return made
+
+
+LONG = {
+    "std": (lambda p: p.std(p.close, 40, 10), lambda g: g.close.rolling(40, 10).std()),
+    "std_pop": (lambda p: p.std(p.col("x"), 50, 5, ddof=0), lambda g: g.x.rolling(50, 5).std(ddof=0)),
+    "cov": (lambda p: p.cov(p.close, p.col("x"), 60, 20), lambda g: g.close.rolling(60, 20).cov(g.x)),
+    "corr": (lambda p: p.corr(p.col("y"), p.col("x"), 60, 20), lambda g: g.y.rolling(60, 20).corr(g.x)),
+    "slope": (
+        lambda p: p.slope(p.col("y"), p.volume, 50),
+        lambda g: g.y.rolling(50).cov(g.volume) / g.volume.rolling(50).var(),
+    ),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_frames_are_merged_from_blocks(spark, gappy, name):
+    formula, want = LONG[name]
+    pdf = gappy.assign(x=gappy.x.astype(object).where(gappy.x.notna(), None))
+    df = spark.createDataFrame(pdf).withColumn("x", F.col("x").cast("double"))
+    p = Panel(df, len(pdf))
+    out = formula(p)
+    made = p.df.select("symbol", "date", out.alias("v"))
+    got = made.toPandas().sort_values(["symbol", "date"])["v"].to_numpy(dtype=float)
+    np.testing.assert_allclose(got, by_symbol(gappy, want), rtol=1e-6, atol=1e-6)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"RowFrame, -\d+, currentrow", plan)  # no frame is summed anew at each row
+
+
+def test_flat_long_frames_are_exactly_flat(spark, gappy):
+    got = run(spark, gappy.drop(columns="x"), lambda p: p.std(p.close, 40))[79:121]
+    assert (got == 0).all()
+
+
+def test_symbols_bound_a_date_where_rows_do_not(spark, tmp_path):
+    """More rows than a window may hold, but few symbols: the window form stays, whatever the number of rows."""
+    rows = [(s, f"1996-01-{d:02d}", d, 1, s, 10.0 * d + s, 2.0) for s in range(4) for d in range(1, 29)]
+    names = "l_suppkey long, l_shipdate string, l_orderkey long, l_linenumber long, l_partkey long, l_extendedprice double, l_quantity double"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.conf.set("quantloom.window.maxGroupRows", "20")
+    try:
+        t = Tables(spark, str(tmp_path))
+        assert t.day_rows("lineitem") == 4
+        assert t.panel("long").bounded
+        spark.conf.set("quantloom.window.maxGroupRows", "3")
+        assert not t.panel("long").bounded
+    finally:
+        spark.conf.unset("quantloom.window.maxGroupRows")
+
+
+def test_rows_change_sides_as_seldom_as_formulas_allow(spark, bars):
+    p = Panel(spark.createDataFrame(bars), len(bars))
+    value = ALPHAS["alpha_037"](p)
+    plan = p.df.select("symbol", "date", value.alias("v"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2  # by symbol, then by date
