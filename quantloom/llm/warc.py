@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.store import shared_folder
+from quantloom.llm.store import keep, shared_folder
 
 #: Bytes of a record block, bytes of a transfer chunk, records of an archive file, least payload that can be a revisit.
 SEGMENT, CHUNK, RECORDS, LEAST = 32 << 10, 8 << 10, 2000, 0
@@ -126,24 +126,49 @@ def _unpacked(content: bytes) -> bytes:
     return b"".join(out)
 
 
-def _parse(batches) -> Iterator[pa.RecordBatch]:
+def _parsed(content: bytes) -> list[tuple]:
+    """origin, page, kind, refers, digest, number, total and block of every record of a file."""
+    data, at, out = _unpacked(content), 0, []
+    while (stop := data.find(b"\r\n\r\n", at)) >= 0:
+        head = dict(line.split(b": ", 1) for line in data[at:stop].split(_END)[1:])
+        size = int(head[b"Content-Length"])
+        name = head.get(b"WARC-Segment-Origin-ID", head[b"WARC-Record-ID"]).decode()
+        out.append((
+            name, name.split(":")[2], head[b"WARC-Type"].decode(), head.get(b"WARC-Refers-To", b"").decode() or None,
+            head.get(b"WARC-Payload-Digest", b"").decode().removeprefix("sha1:") or None, int(head.get(b"WARC-Segment-Number", 1)),
+            int(head[b"WARC-Segment-Total-Length"]) if b"WARC-Segment-Total-Length" in head else (None if b"WARC-Segment-Number" in head or b"WARC-Segment-Origin-ID" in head else size),
+            data[stop + 4 : stop + 4 + size],
+        ))
+        at = stop + 4 + size + 4
+    return out
+
+
+def _single(record: tuple) -> bool:
+    return record[5] == 1 and record[6] is not None
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
+def _singles(batches) -> Iterator[pa.RecordBatch]:
+    """The messages that are one record, their framing undone."""
+    for batch in batches:
+        for content in batch.column("content"):
+            out = []
+            for r in filter(_single, _parsed(content.as_py())):
+                _, page, kind, refers, stated, _, total, block = r
+                out.append((page, kind, refers, stated, unframed(block) if kind == "response" and total == len(block) else None))
+            yield _batch(out, ["page", "kind", "refers", "digest", "payload"], [pa.string()] * 4 + [pa.binary()])
+
+
+def _parts(batches) -> Iterator[pa.RecordBatch]:
+    """The records of messages that were cut."""
     names = ["origin", "page", "kind", "refers", "digest", "number", "total", "block"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
         for content in batch.column("content"):
-            data, at, out = _unpacked(content.as_py()), 0, []
-            while (stop := data.find(b"\r\n\r\n", at)) >= 0:
-                head = dict(line.split(b": ", 1) for line in data[at:stop].split(_END)[1:])
-                size = int(head[b"Content-Length"])
-                name = head.get(b"WARC-Segment-Origin-ID", head[b"WARC-Record-ID"]).decode()
-                out.append((
-                    name, name.split(":")[2], head[b"WARC-Type"].decode(), head.get(b"WARC-Refers-To", b"").decode() or None,
-                    head.get(b"WARC-Payload-Digest", b"").decode().removeprefix("sha1:") or None, int(head.get(b"WARC-Segment-Number", 1)),
-                    int(head[b"WARC-Segment-Total-Length"]) if b"WARC-Segment-Total-Length" in head else (None if b"WARC-Segment-Number" in head or b"WARC-Segment-Origin-ID" in head else size),
-                    data[stop + 4 : stop + 4 + size],
-                ))
-                at = stop + 4 + size + 4
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+            cut = [r for r in _parsed(content.as_py()) if not _single(r)]
+            yield _batch(cut, names, [pa.string()] * 5 + [pa.int64(), pa.int64(), pa.binary()])
 
 
 def _whole(batches) -> Iterator[pa.RecordBatch]:
@@ -162,14 +187,11 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """page, kind (response or revisit), refers, digest (as stated) and payload (null for revisits and broken messages)."""
     files = spark.read.format("binaryFile").load(folder).select("content")
     schema = "origin string, page string, kind string, refers string, digest string, number long, total long, block binary"
-    records = files.mapInArrow(_parse, schema)
-    part = F.struct("number", "total", "block")
-    single = (F.col("total").isNotNull()) & (F.col("number") == 1)
-    whole = records.where(single).select("page", "kind", "refers", "digest", F.array(part).alias("parts"))
-    first = lambda c: F.max(F.when(F.col("kind") != "continuation", F.col(c))).alias(c)
-    joined = records.where(~single).groupBy("origin").agg(F.max("page").alias("page"), first("kind"), first("refers"), first("digest"), F.sort_array(F.collect_list(part)).alias("parts"))
     out = "page string, kind string, refers string, digest string, payload binary"
-    return whole.mapInArrow(_whole, out).union(joined.drop("origin").mapInArrow(_whole, out))
+    first = lambda c: F.max(F.when(F.col("kind") != "continuation", F.col(c))).alias(c)
+    parts = F.sort_array(F.collect_list(F.struct("number", "total", "block"))).alias("parts")
+    joined = files.mapInArrow(_parts, schema).groupBy("origin").agg(F.max("page").alias("page"), first("kind"), first("refers"), first("digest"), parts)
+    return files.mapInArrow(_singles, out).union(joined.drop("origin").mapInArrow(_whole, out))
 
 
 def _told(batches) -> Iterator[pa.RecordBatch]:
@@ -187,7 +209,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, least: int = LEAST)
     spark = pages.sparkSession
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, folder, least)
-    told = read_archives(spark, folder).mapInArrow(_told, "page string, kind string, refers string, digest string, size long, own string")
+    # one short row a record; written once, so that the archives are not read again for the lengths of revisits
+    told = keep(read_archives(spark, folder).mapInArrow(_told, "page string, kind string, refers string, digest string, size long, own string"))
     sizes = told.where("kind = 'response'").groupBy(F.col("own").alias("digest")).agg(F.max("size").alias("full"))
     number = lambda c: F.expr(f"try_cast({c} AS BIGINT)")
     return told.join(sizes, "digest", "left").select(
