@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.store import keep
 
+#: Edges of a partition, both directions counted. Fewer in all are one partition, and a round over them needs no exchange.
+ROWS = 1 << 17
+
 
 def _mark(edges: DataFrame) -> tuple:
     """Count and order-free digest of a set of edges."""
@@ -23,12 +26,14 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = keep(pairs)
     mark = _mark(pairs)
     while mark[0]:
-        both = pairs.union(pairs.select("v", "u").toDF("u", "v"))
+        parts = 1 + 2 * mark[0] // ROWS
+        joined_to = F.broadcast if parts == 1 else lambda table: table
+        both = pairs.union(pairs.select("v", "u").toDF("u", "v")).coalesce(parts)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(joined_to(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(lowest, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).distinct()
+        joined = large.join(joined_to(lowest), "u")
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).coalesce(parts).distinct()
         pairs = keep(small)
         last, mark = mark, _mark(pairs)
         if mark == last:

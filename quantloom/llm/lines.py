@@ -30,7 +30,7 @@ from quantloom.llm import batches as b
 from quantloom.llm.bits import only_in
 from quantloom.llm.graph import components
 from quantloom.llm.minhash import of_several, parities
-from quantloom.llm.store import keep, spare
+from quantloom.llm.store import exchange_parts, keep, spare
 
 SHINGLE, ALIKE, HASHES, BITS = 16, 0.8, 24, 4096
 #: Each band is three orders of its own.
@@ -156,7 +156,8 @@ def _outside(lists: DataFrame, sets: DataFrame) -> DataFrame:
     once = (F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("home")) | (F.col("id") < F.col("id_")))
     first = F.array_min(F.array_intersect("keys", "keys_")) == F.col("s.key")
     met = still.where("root <> home").alias("s").join(other.alias("t"), (F.col("s.key") == F.col("t.key")) & once & near & (part <= most) & (whole <= most) & first)
-    return met.select(*_pairs("id", "id_"))
+    # a skewed join is split into many tasks with few pairs each; they are written in as many parts as any other exchange has
+    return met.select(*_pairs("id", "id_")).coalesce(exchange_parts(met))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

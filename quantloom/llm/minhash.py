@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quantloom.llm import batches as b
 from quantloom.llm.bits import only_in
 from quantloom.llm.graph import components
-from quantloom.llm.store import keep
+from quantloom.llm.store import exchange_parts, keep
 
 SHINGLE, ALIKE = 5, 85
 COORDINATES, MATCHES, BITS = 64, 40, 1024
@@ -159,7 +159,9 @@ def outside_pairs(lists: DataFrame, sets: DataFrame, alike: int, bits: int = BIT
     differ = sum((bit(i) for i in range(1, bits // 64)), bit(0))
     once = (F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("home")) | (F.col("id") < F.col("id_")))
     met = still.where("root <> home").alias("s").join(other.alias("t"), (F.col("s.key") == F.col("t.key")) & once & (differ <= most))
-    return met.select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v")).distinct()
+    # a skewed join is split into many tasks with few pairs each; they are written in as many parts as any other exchange has
+    met = met.select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v"))
+    return met.coalesce(exchange_parts(met)).distinct()
 
 
 def links(docs: DataFrame, entries: DataFrame) -> DataFrame:
