@@ -6,6 +6,8 @@ at most one row per session whatever the size of the data.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -70,20 +72,28 @@ def sentiment_sequences(daily: DataFrame, n: int = 7) -> DataFrame:
 
 
 def iv_sequences(rows: DataFrame, n: int = 20) -> DataFrame:
-    """Features of the ``n`` rows before each row of ``iv`` and ``vix``; any missing value drops the row."""
-    before = Window.partitionBy("symbol").orderBy("date").rowsBetween(-n, -1)
-    made = rows.withColumns({"_a": F.collect_list("iv").over(before), "_v": F.collect_list("vix").over(before)})
-    made = made.where((F.size("_a") == n) & (F.size("_v") == n))
-    a = C("_a")
-    last, mean = F.element_at(a, -1), _mean(a, 1, n)
-    steps = F.transform(F.slice(a, 2, n - 1), lambda x, i: x - F.element_at(a, i + 1))
-    centre = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / (n - 1)
-    spread = F.aggregate(F.transform(steps, lambda x: (x - centre) * (x - centre)), F.lit(0.0), lambda s, x: s + x) / (n - 1)
+    """Features of the ``n`` rows before each row of ``iv`` and ``vix``; any missing value drops the row.
+
+    The rows before are columns, oldest first, so that the formulas are compiled; functions over lists are interpreted element by element.
+    """
+    w = Window.partitionBy("symbol").orderBy("date")
+    a = [C(f"_a{i}") for i in range(n)]
+    whole = F.when(C("iv").isNotNull() & C("vix").isNotNull(), 1)
+    seen = [F.count(whole).over(w.rowsBetween(Window.unboundedPreceding, end)) for end in (-1, -n - 1)]
+    made = rows.withColumns({f"_a{i}": F.lag("iv", n - i).over(w) for i in range(n)} | {"_v": F.lag("vix", 1).over(w), "_n": seen[0] - seen[1]})
+    made = made.where(C("_n") == n)
+    total = lambda values: reduce(lambda s, x: s + x, values, F.lit(0.0))
+    steps = [y - x for x, y in zip(a, a[1:])]
+    mid = (n - 1) / 2
+    trend = total(x * (i - mid) for i, x in enumerate(a)) / sum((i - mid) ** 2 for i in range(n))
+    made = made.withColumns({"_mean": total(a) / n, "_centre": total(steps) / (n - 1), "_trend": trend})
+    spread = total((x - C("_centre")) * (x - C("_centre")) for x in steps) / (n - 1)
+    last, mean = a[-1], C("_mean")
     return made.select(
         "symbol", "date",
-        _slope(a, n).alias("iv_trend"), F.sqrt(spread).alias("iv_volatility"),
+        C("_trend").alias("iv_trend"), F.sqrt(spread).alias("iv_volatility"),
         F.when(last > mean * 1.2, 2).when(last < mean * 0.8, 0).otherwise(1).alias("iv_regime"),
-        (F.element_at("_v", -1) - last).alias("vix_iv_spread"), ((last - mean) / (mean + 1e-6)).alias("iv_mean_reversion"),
+        (C("_v") - last).alias("vix_iv_spread"), ((last - mean) / (mean + 1e-6)).alias("iv_mean_reversion"),
     )
 
 
