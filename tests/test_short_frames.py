@@ -2,8 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from quantloom.operators.panel import Panel
 from quantloom.operators.sequences import iv_sequences
 
 
@@ -11,10 +13,45 @@ def planned(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"symbol": np.repeat(["a", "b", "c"], 60), "date": np.tile(pd.bdate_range("2024-01-01", periods=60).date, 3), "x": rng.normal(50, 2, 180)})
+    pdf.loc[rng.choice(180, 25, replace=False), "x"] = np.nan
+    pdf.loc[pdf.symbol == "c", "x"] = 7.0
+    return pdf
+
+
 def frame(spark, pdf, *columns):
     return spark.createDataFrame(pdf).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
+def test_higher_order_moments_and_percentiles(spark, rows):
+    p = Panel(frame(spark, rows, "x"), len(rows))
+    x = F.col("x")
+    made = {"skew": p.skew(x, 10, 4), "kurt": p.kurt(x, 10, 4, corrected=False), "high": p.pctile(x, 0.75, 10, 4), "low": p.pctile(x, 0.2, 10, 4)}
+    df = p.df.select("symbol", "date", *[c.alias(n) for n, c in made.items()])
+    plan = planned(df)
+    assert not any(word in plan for word in ("percentile(", "skewness(", "kurtosis(", "collect_list("))
+    got = df.toPandas().sort_values(["symbol", "date"])
+
+    def population(a):
+        d = a - a.mean()
+        return np.nan if (d == 0).all() else (d**4).mean() / (d**2).mean() ** 2 - 3
+
+    roll = [g.x.rolling(10, min_periods=4) for _, g in rows.groupby("symbol")]
+    raw = [g.x.rolling(10, min_periods=1) for _, g in rows.groupby("symbol")]
+    seen = np.concatenate([r.count() for r in raw]) >= 4
+    want = {
+        "skew": np.concatenate([r.skew() for r in roll]),
+        "kurt": np.where(seen, np.concatenate([r.apply(lambda a: population(a[~np.isnan(a)]), raw=True) for r in raw]), np.nan),
+        "high": np.concatenate([r.quantile(0.75) for r in roll]),
+        "low": np.concatenate([r.quantile(0.2) for r in roll]),
+    }
+    for name, values in want.items():
+        np.testing.assert_allclose(got[name].astype(float), values, rtol=1e-8, atol=1e-8, err_msg=name)
+
+
 def test_iv_sequences(spark):
     rng = np.random.default_rng(6)
     n = 120
