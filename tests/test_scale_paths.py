@@ -125,3 +125,18 @@ def test_part_sizes(spark):
     assert len(parts) == 20 and max(r["n"] for r in parts) <= 30_000
     assert all(one["hi"] < two["lo"] for one, two in zip(parts, parts[1:]))
     assert ranking.value_ranks(df, [], "x", 10_000).agg(F.sum("less")).first()[0] == 200_000 * 199_999 // 2
+
+
+@pytest.mark.parametrize("bucket_rows", [10**6, 100, 7])
+def test_pct_rank_deals_its_rows_once(spark, skewed, bucket_rows):
+    """Whatever the number of intervals; a null key is a group, a hot value needs no window, and rows are exchanged in one place only."""
+    pdf = skewed.assign(date=[None if i % 50 == 0 else d for i, d in enumerate(skewed["date"])])
+    df = ranking.with_pct_rank(frame(spark, pdf), ["date"], "x", "r", bucket_rows)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert df.columns == [*pdf.columns, "r"]
+    got = df.toPandas().sort_values("symbol")
+    want = pdf.assign(date=pdf["date"].astype(str)).groupby("date")["x"].rank(pct=True)
+    np.testing.assert_allclose(got["r"].astype(float), want, rtol=1e-12)
+    whole = ranking.with_pct_rank(frame(spark, pdf), [], "x", "r", bucket_rows).toPandas().sort_values("symbol")
+    np.testing.assert_allclose(whole["r"].astype(float), pdf["x"].rank(pct=True), rtol=1e-12)
